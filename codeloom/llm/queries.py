@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, mixing, packing, simhash, toxicity
+from . import bpe, embeddings, linededup, mixing, packing, paragraphs, quality, simhash, toxicity
 from .common import table
 
 
@@ -35,8 +35,20 @@ def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, d, "embeddings"))
+
+
+def op9_compression(spark: SparkSession, d: str) -> DataFrame:
+    return quality.compression_bands(table(spark, d, "documents"))
+
+
+def op10_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return paragraphs.repeated_passages(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_bpe, op3_packing, op4_line_dedup, op5_toxicity, op6_simhash)
+    f.__name__: f for f in (op1_mixing, op2_bpe, op3_packing, op4_line_dedup, op5_toxicity, op6_simhash, op8_embedding_dedup, op9_compression, op10_paragraphs)
 }
 
 _STRIPPED = "trim(line, ' ' || chr(9) || chr(13) || chr(12))"
