@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, linededup, mixing, packing, paragraphs, quality, simhash, toxicity
+from . import bpe, embeddings, linededup, lm, mixing, packing, paragraphs, quality, simhash, toxicity
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
+def op7_lm(spark: SparkSession, d: str) -> DataFrame:
+    return lm.score(table(spark, d, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, d, "embeddings"))
 
@@ -48,7 +52,7 @@ def op10_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_bpe, op3_packing, op4_line_dedup, op5_toxicity, op6_simhash, op8_embedding_dedup, op9_compression, op10_paragraphs)
+    f.__name__: f for f in (op1_mixing, op2_bpe, op3_packing, op4_line_dedup, op5_toxicity, op6_simhash, op7_lm, op8_embedding_dedup, op9_compression, op10_paragraphs)
 }
 
 _STRIPPED = "trim(line, ' ' || chr(9) || chr(13) || chr(12))"
