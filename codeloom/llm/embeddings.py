@@ -133,6 +133,8 @@ def _within(nodes: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
 def _audit(vecs: DataFrame, edges: DataFrame, threshold: float) -> float:
     """Share of the true edges of AUDIT vectors (drawn by hash) that are among the edges; 1 where there is none."""
     some = vecs.orderBy(sample_key("id"), "id").limit(AUDIT).collect()
+    if not some:
+        return 1.0
     held = vecs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in some]), b"".join(bytes(r[1]) for r in some)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,7 +123,7 @@ def _shard_sql(shards: int) -> str:
 
 
 #: White space around a line doesn't count; the line's hash is of the rest.
-_HASHES = "transform(split({text}, '\\n', -1), x -> xxhash64(trim(BOTH ' \\t\\r\\f' FROM x)))"
+_HASHES = "transform(split({text}, '\\n', -1), x -> xxhash64(trim(BOTH ' \\t\\r\\u000C' FROM x)))"
 _BLANK = "xxhash64('')"
 
 
@@ -190,14 +190,14 @@ _SALTS = 8
 
 
 def _routed(d: DataFrame, index: DataFrame, shards: int, least: int) -> DataFrame:
-    """(doc, gone: places) of the documents that lose a line. Each shard's arrays go ahead of the hashes that are sent
+    """(doc, t: hash of the text, gone: places) of the documents that lose a line. Each shard's arrays go ahead of the hashes that are sent
     to it, in the same sorted partition, so a task holds one shard's arrays and a batch of hashes at a time; a
     shard with a hot line is met in several partitions."""
     names = ["mphf", "prints", "counts", "docs", "places"]
     none = [F.lit(None).cast("binary").alias(c) for c in names]
-    lines = d.selectExpr("__doc as doc", "posexplode(__hs) as (place, h)").where(f"h <> {_BLANK}")
-    probes = lines.select(F.expr(_shard_sql(shards)).alias("shard"), F.expr(f"cast(pmod(xxhash64(doc, place), {_SALTS}) as int)").alias("salt"), F.lit(1).alias("kind"), "h", "doc", "place", *none)
-    arrays = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("doc"), F.lit(0).alias("place"), *names)
+    lines = d.selectExpr("__doc as doc", "xxhash64(__text) as t", "posexplode(__hs) as (place, h)").where(f"h <> {_BLANK}")
+    probes = lines.select(F.expr(_shard_sql(shards)).alias("shard"), F.expr(f"cast(pmod(xxhash64(doc, place), {_SALTS}) as int)").alias("salt"), F.lit(1).alias("kind"), "h", "doc", "place", *none, "t")
+    arrays = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("doc"), F.lit(0).alias("place"), *names, F.lit(0).cast("bigint").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, of = None, -1
@@ -215,10 +215,10 @@ def _routed(d: DataFrame, index: DataFrame, shards: int, least: int) -> DataFram
                 if shard is None:
                     continue
                 gone = _drops(shard, h, doc.to_numpy(), place.to_numpy(), least) & (which == of)
-                yield pa.RecordBatch.from_arrays([doc, place], ["doc", "place"]).filter(pa.array(gone))
+                yield pa.RecordBatch.from_arrays([doc, x.column(11), place], ["doc", "t", "place"]).filter(pa.array(gone))
 
     sent = arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    return sent.mapInArrow(run, "doc bigint, place int").groupBy("doc").agg(F.collect_set("place").alias("gone"))
+    return sent.mapInArrow(run, "doc bigint, t bigint, place int").groupBy("doc", "t").agg(F.collect_set("place").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = 2, resident: int = RESIDENT, shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -243,10 +243,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
         d = d.withColumn("__gone", F.expr("coalesce(exists(__keep, x -> not x), false)"))
         rest = F.expr("filter(split(__text, '\\n', -1), (x, i) -> __keep[i])")
     else:
-        gone = _routed(d, index, shards, least).select(F.col("doc").alias("__of"), F.col("gone").alias("__places"))
-        d = d.join(gone, F.col("__doc") == F.col("__of"), "left").withColumn("__gone", F.col("__places").isNotNull())
+        gone = _routed(d, index, shards, least).select(F.col("doc").alias("__of"), F.col("t").alias("__t"), F.col("gone").alias("__places"))
+        d = d.join(gone, (F.col("__doc") == F.col("__of")) & (F.xxhash64("__text") == F.col("__t")), "left").withColumn("__gone", F.col("__places").isNotNull())
         rest = F.expr("filter(split(__text, '\\n', -1), (x, i) -> not array_contains(__places, i))")
     d = d.withColumn("__rest", F.when(F.col("__gone"), rest))
-    d = d.where("not __gone or exists(__rest, x -> trim(BOTH ' \\t\\r\\f' FROM x) <> '')")
+    d = d.where("not __gone or exists(__rest, x -> trim(BOTH ' \\t\\r\\u000C' FROM x) <> '')")
     new = F.when(F.col("__gone"), F.array_join("__rest", "\n")).otherwise(F.col("__text"))
     return d.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
