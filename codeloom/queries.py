@@ -243,3 +243,29 @@ def _full(c):
             have = c[k]
             out[k] = have.select(*[(F.col(f"`{f.name}`") if f.name in have.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in s])
     return Catalog(c.spark, out)
+
+# plain SQL over the views, the same text for both engines
+_COOKBOOK = {
+    "sql_modules_sorted": ("SELECT id, name FROM module WHERE path LIKE 'src/%' ORDER BY name", ("module",)),
+    "sql_functions_of_module": ("SELECT f.id, f.name, m.name AS module FROM function f JOIN module m ON f.module_id = m.id WHERE m.name = 'Brand#8' ORDER BY f.line_number_start, f.id", ("module", "function")),
+    "sql_nested_of_one": ("SELECT w.id, w.name FROM where_function w WHERE w.parent_function_id = (SELECT max(f.id) FROM function f WHERE f.name = 'red widget' AND f.id < 50)", ("function", "where_function")),
+    "sql_callers_of": ("SELECT a.id AS caller_id, ma.name AS caller_module FROM function_dependency d JOIN function a ON a.id = d.caller_id JOIN function b ON b.id = d.callee_id JOIN module ma ON ma.id = a.module_id JOIN module mb ON mb.id = b.module_id WHERE b.name = 'red widget' AND mb.name = 'Brand#9'", ("module", "function", "function_dependency")),
+    "sql_callees_of": ("SELECT DISTINCT b.id AS callee_id, b.name FROM function_dependency d JOIN function a ON a.id = d.caller_id JOIN function b ON b.id = d.callee_id WHERE a.id = 11", ("function", "function_dependency")),
+    "sql_type_fields": ('SELECT t.type_name, k.name AS constructor, f.field_name, f.field_type_raw FROM "type" t JOIN constructor k ON k.type_id = t.id JOIN field f ON f.constructor_id = k.id WHERE t.module_id = 6', ("type", "constructor", "field")),
+    "sql_imports_of": ('SELECT i.id, i.module_name, i.as_module_name FROM "import" i WHERE i.module_id = (SELECT m.id FROM module m WHERE m.name = \'Brand#14\')', ("module", "import")),
+    "sql_text_pattern": ("SELECT f.id, f.name FROM function f WHERE f.raw_string LIKE '%the thing%'", ("function",)),
+    "sql_classes_with_modules": ('SELECT c.class_name, m.name AS module FROM "class" c JOIN module m ON m.id = c.module_id', ("module", "class")),
+    "sql_module_imports_left": ('SELECT m.name, count(i.id) AS n_imports FROM module m LEFT JOIN "import" i ON i.module_id = m.id GROUP BY m.id, m.name HAVING count(i.id) >= 1', ("module", "import")),
+}
+for _name, (_text, _tables) in _COOKBOOK.items():
+    _add(_name, lambda c, t=_text: c.sql(t.replace('"type"', "type").replace('"import"', "import").replace('"class"', "class")), _text, *_tables)
+
+
+def _texts(c) -> DataFrame:
+    from .functions.typeast import is_atomic_column, refs_column, text_column
+
+    s = "field_type_structure"
+    return c["field"].select("id", text_column(s).alias("text"), is_atomic_column(s).alias("atomic"), *[F.get(refs_column(s, k), F.lit(0))["name"].alias(k) for k in ("loader", "query", "graph")])
+
+
+_add("field_types", _texts, "SELECT id, field_type_raw AS text, true AS atomic, field_type_raw AS loader, field_type_raw AS query, field_type_raw AS graph FROM field", "field")
