@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, text_slices, uniq
+from .common import list_array, text_slices, texts_of, uniq, worker_cache
 
 #: Rank file (base64 of the token, space, rank). A parameter of every function here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How this vocabulary splits text before the merges.
 SPLIT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-NONE = np.int64(1 << 40)
+NONE = np.int32(1 << 30)
 #: Entries of the chunk memo of a Python worker; beyond them it is emptied, which costs time only.
-MEMO = 700_000
+MEMO = 400_000
 
 
 def read_ranks(path: str = TOKENIZER) -> list[bytes]:
@@ -96,17 +96,49 @@ class Bpe:
                 if a is not None and b is not None:
                     keys.append(a << 20 | b)
                     vals.append(r)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
-        self.vals = np.append(np.array(vals, np.int64)[order], NONE)
+        k, v = np.array(keys, np.int64), np.array(vals, np.int32)
+        # merges by pair in an open-addressing table of 8 slots for each; a row of empty slots follows the last
+        self.bits = max(8, (8 * len(k)).bit_length())
+        self.table = np.full((1 << self.bits) + 64, -1, np.int64)
+        self.merged = np.full(len(self.table), NONE, np.int32)
+        at, left = self._slot(k), np.arange(len(k))
+        while len(left):
+            free = self.table[at[left]] == -1
+            self.table[at[left[free]]] = k[left[free]]  # of several keys for a slot the last one stays
+            there = self.table[at[left]] == k[left]
+            self.merged[at[left[there]]] = v[left[there]]
+            left = left[~there]
+            at[left] += 1
+        part = np.stack([k >> 20, k & (1 << 20) - 1])
+        # ranks of tokens that stand in a pair of no greater rank: such a pair may appear when they are merged
+        self.risky = np.zeros(len(tokens), bool)
+        self.risky[part[part >= v]] = True
+        pair = np.arange(1 << 16)
+        self.bytes = self._rank(self.byte_id[pair >> 8], self.byte_id[pair & 255])
         self.split = regex.compile(split)
         self._forget()
         self.binary = pa.array(tokens, pa.binary())
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 20 | b
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.vals[at], NONE)
+        """Rank of each pair of ids, NONE if they don't merge."""
+        key = a.astype(np.int64) << 20 | b
+        at = self._slot(key)
+        found = self.table[at]
+        out = self.merged[at]
+        other = np.flatnonzero(found != key)
+        out[other] = NONE
+        other = other[found[other] >= 0]
+        while len(other):
+            at[other] += 1
+            found = self.table[at[other]]
+            hit = found == key[other]
+            out[other[hit]] = self.merged[at[other[hit]]]
+            other = other[~hit & (found >= 0)]
+        return out
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian int32 bytes; no merge crosses a piece's end."""
@@ -115,17 +147,18 @@ class Bpe:
         if not n:
             return [b""] * len(pieces)
         # tok[n] stands for the end; nxt and prv of a piece's ends point there
-        tok = np.append(self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)], -1)
-        owner = np.repeat(np.arange(len(pieces)), size)
-        nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        tok = np.append(self.byte_id[raw], -1).astype(np.int32)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+        nxt, prv = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         ends = np.cumsum(size)[size > 0] - 1
         starts = ends - size[size > 0] + 1
         nxt[ends], prv[starts] = n, n
         alive = np.ones(n + 1, bool)
         alive[n] = False
-        rank = np.full(n + 1, NONE)
-        inner = np.flatnonzero(nxt[:n] != n)
-        rank[inner] = self._rank(tok[inner], tok[inner + 1])
+        rank = np.full(n + 1, NONE, np.int32)
+        inner = np.flatnonzero(nxt[:n] != n).astype(np.int32)
+        rank[inner] = self.bytes[raw[inner].astype(np.int32) << 8 | raw[inner + 1]]
         queue = RankQueue(len(self.tokens))
 
         def push(at: np.ndarray) -> None:
@@ -146,7 +179,7 @@ class Bpe:
         while (got := queue.pop()) is not None:
             r, parts = got
             at = parts[0] if len(parts) == 1 else np.concatenate(parts)
-            at = at[(rank[at] == r) & alive[at]]  # stale entries are skipped
+            at = at[rank[at] == r]  # stale entries are skipped
             if not len(at):
                 continue
             if len(at) > 1:
@@ -157,9 +190,10 @@ class Bpe:
                     i = np.arange(len(at))
                     at = at[(i - np.maximum.accumulate(np.where(linked, 0, i))) % 2 == 0]
             again = None
-            while True:
-                left, gone = prv[at], nxt[at]
-                right = nxt[gone]
+            gone = nxt[at]
+            right = nxt[gone]
+            while self.risky[r] and len(at) > 1:
+                left = prv[at]
                 new = np.full(len(at), r)
                 # the left neighbour may itself be merged in this step: then its own token is new
                 lt = tok[left]
@@ -168,12 +202,11 @@ class Bpe:
                 rt = np.where(_starts(right, at), r, tok[right])
                 ra = np.where(right == n, NONE, self._rank(new, np.where(right == n, 0, rt)))
                 lower = (la <= r) | (ra <= r)
-                if again is None and lower.any() and len(at) > 1:
-                    # a pair of no greater rank appears: only the leftmost merge of each piece is certain
-                    o = owner[at]
-                    once = np.append(True, o[1:] != o[:-1])
+                if lower.any():  # only the leftmost merge of each piece is certain
+                    once = np.append(True, owner[at[1:]] != owner[at[:-1]])
                     again, at = at[~once], at[once]
-                    continue
+                    gone = nxt[at]
+                    right = nxt[gone]
                 break
             tok[at] = r
             alive[gone] = False
@@ -222,15 +255,27 @@ class Bpe:
     def _forget(self) -> None:
         #: Numbers the chunks in the order in which they come.
         self.memo: defaultdict[str, int] = defaultdict(count().__next__)
-        self.size, self.start = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.size, self.start, self.uses = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat, self.slow = np.empty(0, np.int32), np.empty(0, bool)
 
+    def _trim(self) -> None:
+        """Keep the chunks that came more than once; all go if these are more than half."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > MEMO // 2:
+            return self._forget()
+        names = list(self.memo)
+        size = self.size[keep]
+        self.flat = self.flat[np.repeat(self.start[keep] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        self.memo = defaultdict(count(len(keep)).__next__, zip([names[i] for i in keep.tolist()], range(len(keep))))
+        self.size, self.slow, self.uses = size, self.slow[keep], self.uses[keep] // 2
+        self.start = np.cumsum(size) - size
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and n + 1 offsets; a null text has no ids."""
         out, counts = [], []
-        for lo, hi in text_slices(texts):
+        for lo, hi in text_slices(texts, 3_000_000):
             if len(self.memo) > MEMO:
-                self._forget()
+                self._trim()
             known, get = len(self.memo), self.memo.__getitem__
             seen: list[int] = []
             many = []
@@ -244,6 +289,7 @@ class Bpe:
                 many.append(len(seen) - before)
             self._learn(known)
             idx = np.array(seen, np.int64)
+            self.uses = np.append(self.uses, np.zeros(len(self.memo) - known, np.int64)) + np.bincount(idx, minlength=len(self.memo))
             size = self.size[idx]
             total = np.cumsum(size)
             ends = np.append(0, np.cumsum(many))
@@ -286,15 +332,9 @@ def _starts(right: np.ndarray, at: np.ndarray) -> np.ndarray:
     return at[i] == right
 
 
-_LOADED: dict = {}
-
-
 def loaded(held) -> Bpe:
     """The vocabulary of a broadcast, built once in each Python worker."""
-    if held.id not in _LOADED:
-        _LOADED.clear()
-        _LOADED[held.id] = Bpe(held.value)
-    return _LOADED[held.id]
+    return worker_cache(held.id, lambda: Bpe(held.value))
 
 
 class Held:
@@ -328,7 +368,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer:
         for b in batches:
             column = b.column(1)
             texts = column.to_pylist()
-            for lo, hi in text_slices(texts, 24_000_000):
+            for lo, hi in text_slices(texts, 8_000_000):
                 part = texts[lo:hi]
                 ids, offsets = bpe.encode(part)
                 null = np.array([t is None for t in part], bool)
@@ -336,7 +376,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer:
                 n = pa.array(np.diff(offsets).astype(np.int32), mask=null)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), n, list_array(ids, offsets, pa.int32(), null), same], ["doc_id", "n_tokens", "ids", "lossless"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, ENCODED)
+    return texts_of(docs, F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, ENCODED)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", key: str = "doc_id", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -356,4 +396,4 @@ def decode(encoded: DataFrame, ids: str = "ids", key: str = "doc_id", tokenizer:
             yield pa.RecordBatch.from_arrays([b.column(0), text], ["doc_id", "text"])
 
     clean = F.filter(F.col(ids).cast("array<int>"), lambda x: x.isNotNull())
-    return encoded.select(F.col(key).cast("long"), clean.alias("ids")).mapInArrow(run, T.StructType.fromDDL("doc_id bigint, text string"))
+    return texts_of(encoded, F.col(key).cast("long"), clean.alias("ids")).mapInArrow(run, T.StructType.fromDDL("doc_id bigint, text string"))

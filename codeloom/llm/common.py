@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -44,20 +45,62 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: bounds what a Python worker holds of long texts.
+ARROW_ROWS = 1500
+
+_HELD: dict = {}
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker shares its executor's memory with the JVM."""
+    if "libc" not in _LEAN:
+        _LEAN["libc"] = None
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 18)  # arrays from 256 KB on are mapped, hence gone when freed
+            libc.mallopt(-1, 1 << 20)
+            _LEAN["libc"] = libc
+        except (OSError, AttributeError):  # another C library: it keeps its ways
+            pass
+        pa.set_memory_pool(pa.system_memory_pool())
+    if _LEAN["libc"] is not None:
+        _LEAN["libc"].malloc_trim(0)
+
+
+_LEAN: dict = {}
+
+
+def worker_cache(name: str, make):
+    """What a Python worker keeps between tasks. One such thing at a time: workers are shared by all stages."""
+    if name not in _HELD:
+        _HELD.clear()
+        trim()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def texts_of(df: DataFrame, *columns) -> DataFrame:
+    """A projection that goes to Python in small Arrow batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df.select(*columns) if columns else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_slices(texts: list, limit: int = 12_000_000):
+def text_slices(texts: list, limit: int = 1_500_000):
     """(start, stop) runs of a batch with at most about ``limit`` characters each."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t) if t else 0
         if size >= limit:
             yield start, i + 1
+            trim()
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+        trim()
 
 
 def uniq(x: np.ndarray) -> np.ndarray:

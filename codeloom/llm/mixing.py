@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, sample_key, text_slices, written
+from .common import mix64, sample_key, text_slices, texts_of, written
 from .words import words
 
 #: At most so many labelled rows of each domain are trained on, drawn by the hash of their doc_id.
-SAMPLE = 600
+SAMPLE = 300
 #: Target shares of the tokens; domains that aren't named share nothing.
 TARGETS = {"en/good": 0.40, "de/good": 0.18, "fr/good": 0.18, "es/good": 0.18, "en/poor": 0.02, "de/poor": 0.02, "fr/poor": 0.01, "es/poor": 0.01}
 _BUCKETS = 1 << 14
@@ -47,7 +47,7 @@ class Domains:
 
     def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         out, many = np.zeros((len(texts), len(self.names)), np.float32), np.zeros(len(texts), np.int64)
-        for lo, hi in text_slices(texts, 6_000_000):
+        for lo, hi in text_slices(texts):
             f, doc, n = features(texts[lo:hi])
             s = np.stack([np.bincount(doc, self.weights[f, k], hi - lo) for k in range(len(self.names))], 1)
             s = s / np.maximum(n, 1)[:, None] + self.bias
@@ -56,10 +56,10 @@ class Domains:
         return out, many
 
 
-def train(texts: list[str | None], y: np.ndarray, names: list[str], steps: int = 300, rate: float = 0.5) -> Domains:
+def train(texts: list[str | None], y: np.ndarray, names: list[str], steps: int = 80, rate: float = 1.0) -> Domains:
     """Full-batch Adam on the sampled rows."""
     rows, cols, vals = [], [], []
-    for lo, hi in text_slices(texts, 6_000_000):
+    for lo, hi in text_slices(texts):
         f, doc, n = features(texts[lo:hi])
         key = np.sort(doc.astype(np.int64) << 32 | f)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
@@ -127,7 +127,7 @@ def memberships(docs: DataFrame, model: Domains, text: str = "text", key: str =
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), rows], ["doc_id", "tokens", "p"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id bigint, tokens bigint, p array<float>")
+    return texts_of(docs, F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id bigint, tokens bigint, p array<float>")
 
 
 def rates(p: np.ndarray, steps: list[np.ndarray], ahead: bool = False) -> np.ndarray:
@@ -234,4 +234,4 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = T
             for lo in range(0, len(n), 2000):
                 yield b.take(pa.array(np.repeat(np.arange(lo, min(lo + 2000, len(n))), n[lo : lo + 2000])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts_of(docs).mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TOKENIZER, Held, loaded
-from .common import list_array, text_slices
+from .common import list_array, text_slices, texts_of
 
 #: Ids in a block; a multiple of 8, so that a full block ends on a byte whatever the width.
 BLOCK = 1024
@@ -104,7 +104,7 @@ def pack_ids(encoded: DataFrame, vocabulary: int, ids: str = "ids", key: str = "
                 raise ValueError("a null id")
             yield _rows(b.column(0), flat.to_numpy(), np.append(0, np.cumsum(n)).astype(np.int64), np.array(col.is_null().to_pylist(), bool), bits, block)
 
-    return encoded.select(F.col(key).cast("long"), F.col(ids).cast("array<int>")).mapInArrow(run, PACKED)
+    return texts_of(encoded, F.col(key).cast("long"), F.col(ids).cast("array<int>")).mapInArrow(run, PACKED)
 
 
 def unpack_ids(packed: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def unpack_ids(packed: DataFrame) -> DataFrame:
             out = [None if p is None else unpack(p, w, k) for k, w, p in zip(n.to_pylist(), bits.to_pylist(), payload.to_pylist())]
             yield pa.RecordBatch.from_arrays([key, pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return packed.select("doc_id", "n_tokens", "bits", "payload").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return texts_of(packed, "doc_id", "n_tokens", "bits", "payload").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def tokenize_and_pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
@@ -131,12 +131,12 @@ def tokenize_and_pack(docs: DataFrame, text: str = "text", key: str = "doc_id",
         bpe = loaded(held)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in text_slices(texts, 24_000_000):
+            for lo, hi in text_slices(texts, 8_000_000):
                 ids, offsets = bpe.encode(texts[lo:hi])
                 null = np.array([t is None for t in texts[lo:hi]], bool)
                 yield _rows(b.column(0).slice(lo, hi - lo), ids, offsets, null, bits, block)
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, PACKED)
+    return texts_of(docs, F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, PACKED)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

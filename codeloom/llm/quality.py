@@ -14,6 +14,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 #: (bytes up to, least ratio, greatest ratio). Prose gains with its length: about 1.6 at 400 bytes, 2 at 2 KB, 2.5 at
 #: 32 KB; random letters stay under 1.4, repeats pass 4 soon.
 BANDS = ((64, 0.0, 3.0), (128, 0.6, 2.4), (256, 0.9, 2.6), (512, 1.1, 2.8), (2048, 1.25, 3.0), (8192, 1.4, 3.4), (32768, 1.5, 4.0), (1 << 62, 1.5, 4.6))
@@ -60,7 +62,7 @@ def compression_bands(docs: DataFrame, text: str = "text", key: str = "doc_id",
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *names])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, JUDGED)
+    return texts_of(docs, F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, JUDGED)
 
 
 def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
@@ -71,4 +73,4 @@ def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(np.array([r[4] for r in judge(b.column(at).to_pylist(), **limits)], bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts_of(docs).mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, sample_key, text_slices, uniq
+from .common import mix64, sample_key, text_slices, texts_of, uniq
 from .words import words
 
 #: At most so many labelled rows of each class are trained on, drawn by the hash of their doc_id.
@@ -44,19 +44,24 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(texts: list[str | None], labels: np.ndarray, alpha: float, beta: float, l1: float, l2: float, epochs: int, least_docs: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(sorted feature hashes, weights, bias); only weights other than 0. The order of texts is the order of updates."""
-    rows: list[np.ndarray] = []
-    for lo, hi in text_slices(texts, 4_000_000):
-        f, doc = features(texts[lo:hi])
-        f, doc = f[f != 0], doc[f != 0]
-        cut = np.searchsorted(np.sort(doc), np.arange(hi - lo + 1))
-        f = f[np.argsort(doc, kind="stable")]
-        rows += [uniq(f[a:z]) for a, z in zip(cut, cut[1:])]
-    flat = np.concatenate([*rows, np.empty(0, np.uint64)])
-    flat.sort()
+    def by_doc() -> Iterator[np.ndarray]:
+        for lo, hi in text_slices(texts, 1_000_000):
+            f, doc = features(texts[lo:hi])
+            f, doc = f[f != 0], doc[f != 0]
+            cut = np.searchsorted(np.sort(doc), np.arange(hi - lo + 1))
+            f = f[np.argsort(doc, kind="stable")]
+            yield from (uniq(f[a:z]) for a, z in zip(cut, cut[1:]))
+
+    # first how many texts have each feature, by 26 bits of its hash; then those that enough texts have
+    many = np.zeros(1 << 26, np.uint8)
+    for r in by_doc():
+        at = r >> np.uint64(38)
+        many[at] = np.minimum(many[at], 254) + 1
+    rows = [r[many[r >> np.uint64(38)] >= least_docs] for r in by_doc()]
+    del many
+    flat = np.sort(np.concatenate([*rows, np.empty(0, np.uint64)]))
     first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.empty(0, np.int64)
-    many = np.diff(np.append(first, len(flat))) >= least_docs
-    vocab = flat[first[many]]
-    del flat
+    vocab = flat[first[np.diff(np.append(first, len(flat))) >= least_docs]]
     docs = []
     for r in rows:
         at = np.searchsorted(vocab, r)
@@ -90,7 +95,7 @@ class Scorer:
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Probability of each text; a feature counts once however often it occurs."""
         total = np.full(len(texts), self.bias)
-        for lo, hi in text_slices(texts):
+        for lo, hi in text_slices(texts, 1_000_000):
             f, doc = features(texts[lo:hi])
             hit = np.flatnonzero(self.bitmap[f >> np.uint64(64 - _BITS)])
             f, doc = f[hit], doc[hit]
@@ -143,7 +148,7 @@ def score(docs: DataFrame, model: Scorer, text: str = "text", key: str = "doc_id
             s = np.where([not t for t in texts], 0.0, m.score(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "toxic"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id bigint, score double, toxic int")
+    return texts_of(docs, F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id bigint, score double, toxic int")
 
 
 def drop_toxic(docs: DataFrame, model: Scorer, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -157,4 +162,4 @@ def drop_toxic(docs: DataFrame, model: Scorer, text: str = "text", threshold: fl
             texts = b.column(at).to_pylist()
             yield b.filter(pa.array((m.score(texts) < threshold) | np.array([not t for t in texts], bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts_of(docs).mapInArrow(run, docs.schema)

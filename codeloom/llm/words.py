@@ -10,10 +10,12 @@ from itertools import count, islice
 import numpy as np
 import xxhash
 
+from .common import worker_cache
+
 _WORD = re.compile(r"\w+")
 _SIGNS = ".,;:!?%&$#*|-'\")]}"
 #: Words of the memo of a Python worker; beyond them it is emptied, which costs time only.
-MEMO = 900_000
+MEMO = 300_000
 
 
 class Words:
@@ -25,11 +27,21 @@ class Words:
     def _forget(self) -> None:
         self.memo: defaultdict[str, int] = defaultdict(count().__next__)
         self.hash, self.stem = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.length, self.canon = np.empty(0, np.int32), np.empty(0, np.int64)
-        self.style, self.known = np.empty(0, np.int32), {}
+        self.length, self.style = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.uses = np.empty(0, np.int64)
+
+    def _trim(self) -> None:
+        """Keep the chunks that came more than once; all go if these are more than half."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > MEMO // 2:
+            return self._forget()
+        names = list(self.memo)
+        self.memo = defaultdict(count(len(keep)).__next__, zip([names[i] for i in keep.tolist()], range(len(keep))))
+        self.hash, self.stem, self.length, self.style = self.hash[keep], self.stem[keep], self.length[keep], self.style[keep]
+        self.uses = self.uses[keep] // 2
 
     def _learn(self, known: int) -> None:
-        h, s, n, same, style = [], [], [], [], []
+        h, s, n, style = [], [], [], []
         for c in islice(self.memo, known, None):
             w = c.lower()
             if not w.isalnum():
@@ -40,19 +52,16 @@ class Words:
             tail = c[len(c.rstrip(_SIGNS)) :]
             case = 0 if c == w else 1 if c.isupper() and len(w) > 1 else 2
             style.append(3 * (zlib.crc32(tail.encode()) % 80) + case)
-            same.append(self.known.setdefault(h[-1], known + len(same)))
         self.hash = np.append(self.hash, np.array(h, np.uint64))
         self.stem = np.append(self.stem, np.array(s, np.uint64))
         self.length = np.append(self.length, np.array(n, np.int32))
         #: Case, and the signs that the chunk ends with: one of 240.
         self.style = np.append(self.style, np.array(style, np.int32))
-        #: The number of the first chunk with the same word: texts differ in signs and case.
-        self.canon = np.append(self.canon, np.array(same, np.int64))
 
     def index(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts (into hash, stem, length) and n + 1 offsets. None: no words."""
         if len(self.memo) > MEMO:
-            self._forget()
+            self._trim()
         known, get = len(self.memo), self.memo.__getitem__
         seen: list[int] = []
         ends = [0]
@@ -61,14 +70,11 @@ class Words:
                 seen.extend(map(get, t.split()))
             ends.append(len(seen))
         self._learn(known)
-        return np.array(seen, np.int64), np.array(ends, np.int64)
-
-
-_WORDS: list[Words] = []
+        idx = np.array(seen, np.int64)
+        self.uses = np.append(self.uses, np.zeros(len(self.memo) - known, np.int64)) + np.bincount(idx, minlength=len(self.memo))
+        return idx, np.array(ends, np.int64)
 
 
 def words() -> Words:
     """One for each Python worker."""
-    if not _WORDS:
-        _WORDS.append(Words())
-    return _WORDS[0]
+    return worker_cache("words", Words)
