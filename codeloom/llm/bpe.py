@@ -140,12 +140,12 @@ class Bpe:
             other = other[~hit & (found >= 0)]
         return out
 
-    def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian int32 bytes; no merge crosses a piece's end."""
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has; no merge crosses a piece's end."""
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         n = int(size.sum())
         if not n:
-            return [b""] * len(pieces)
+            return np.empty(0, np.int32), np.zeros(len(pieces), np.int64)
         # tok[n] stands for the end; nxt and prv of a piece's ends point there
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         tok = np.append(self.byte_id[raw], -1).astype(np.int32)
@@ -223,10 +223,16 @@ class Bpe:
                 queue.push(r, again)
             push(np.concatenate([inner_l, has]) if len(inner_l) else has)
         live = np.flatnonzero(alive[:n])
-        out = tok[live].astype("<i4").tobytes()
-        count = np.bincount(owner[live], minlength=len(pieces))
-        stop = (np.cumsum(count) * 4).tolist()
-        return [out[a:b] for a, b in zip([0, *stop[:-1]], stop)]
+        return tok[live], np.bincount(owner[live], minlength=len(pieces))
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, with repeats, and n + 1 ends; each different piece is merged once."""
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        ids, many = self.merge([p.encode() for p in number])
+        size, start = many[at], (np.cumsum(many) - many)[at]
+        ends = np.append(0, np.cumsum(size))
+        return ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends
 
     def _learn(self, known: int) -> None:
         """Ids of the chunks that the memo has numbered from ``known`` on.
@@ -236,20 +242,29 @@ class Bpe:
         it, with the space before it, apart from its surroundings, so its ids never depend on the text
         around it. Any other chunk is marked: its text takes the slow way.
         """
-        pieces: dict[str, int] = {}
-        parts: list[list[int]] = []
-        slow = []
-        for c in islice(self.memo, known, None):
-            head = c[:1] == " "
-            bad = c[-1].isspace() and c != " " if head else not c or c[0].isspace() or c[-1].isspace()
-            slow.append(bad)
-            found = () if bad else self.split.findall(c[1:] if head else " " + c)
-            parts.append([pieces.setdefault(p, len(pieces)) for p in found])
-        done = self.merge([p.encode() for p in pieces])
-        out = [b"".join([done[p] for p in x]) for x in parts]
-        self.size = np.append(self.size, np.fromiter((len(b) // 4 for b in out), np.int64, len(out)))
-        self.flat = np.append(self.flat, np.frombuffer(b"".join(out), "<i4"))
-        self.start = np.cumsum(self.size) - self.size
+        new = list(islice(self.memo, known, None))
+        head = [c[:1] == " " for c in new]
+        slow = [c != " " and c[-1].isspace() if h else not c or c[0].isspace() or c[-1].isspace() for c, h in zip(new, head)]
+        body = [i for i, (h, bad) in enumerate(zip(head, slow)) if not h and not bad]
+        heads = [i for i, (h, bad) in enumerate(zip(head, slow)) if h and not bad]
+        # all chunks are split at once: where one ends, so does a piece
+        pieces = self.split.findall("".join([" " + new[i] for i in body]))
+        stop = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        last = np.cumsum(np.fromiter((len(new[i]) + 1 for i in body), np.int64, len(body)))
+        cut = np.searchsorted(stop, last) + 1
+        if len(body) and not (cut <= len(stop)).all() or (stop[cut - 1] != last).any():
+            raise ValueError("the split pattern looks beyond single spaces")
+        cut = cut.tolist()
+        for i in heads:
+            pieces += self.split.findall(new[i][1:])
+            cut.append(len(pieces))
+        ids, ends = self._ids(pieces)
+        stop = ends[np.array([0, *cut], np.int64)]
+        size, start = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        at = np.array(body + heads, np.int64)
+        size[at], start[at] = np.diff(stop), stop[:-1] + len(self.flat)
+        self.size, self.start = np.append(self.size, size), np.append(self.start, start)
+        self.flat = np.append(self.flat, ids)
         self.slow = np.append(self.slow, np.array(slow, bool))
 
     def _forget(self) -> None:
@@ -296,7 +311,7 @@ class Bpe:
             ids = self.flat[np.repeat(self.start[idx] - total + size, size) + np.arange(size.sum())] if len(idx) else np.empty(0, np.int32)
             n = np.diff(np.append(0, total)[ends])
             for i in np.unique(np.searchsorted(ends, np.flatnonzero(self.slow[idx]), "right") - 1)[::-1].tolist():
-                got = np.frombuffer(b"".join(self._whole(texts[lo + i])), "<i4")
+                got = self._ids(self.split.findall(texts[lo + i]))[0]
                 at = int(n[:i].sum())
                 ids = np.concatenate([ids[:at], got, ids[at + n[i] :]])
                 n[i] = len(got)
@@ -306,12 +321,6 @@ class Bpe:
         np.cumsum(np.concatenate(counts) if counts else [], out=offsets[1:])
         return np.concatenate(out) if out else np.empty(0, np.int32), offsets
 
-    def _whole(self, text: str) -> list[bytes]:
-        pieces: dict[str, int] = {}
-        parts = [pieces.setdefault(p, len(pieces)) for p in self.split.findall(text)]
-        done = self.merge([p.encode() for p in pieces])
-        return [done[p] for p in parts]
-
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The bytes of each list of ids, as an Arrow binary column."""
         flat = self.binary.take(pa.array(ids, pa.int32()))
