@@ -198,6 +198,17 @@ def test_passages(spark):
     assert {r["doc_id"] for r in paragraphs.repeated_passages(odd(spark)).collect()} <= {4, 5}
 
 
+def test_runs_over_several_sources(spark):
+    """A verbatim repeat is one run although parts of it were first in an edited copy; there, no run is long enough."""
+    rng = random.Random(14)
+    passage = words_of(rng, 300)
+    copy = [words_of(rng, 1)[0] if k % 15 == 7 else x for k, x in enumerate(passage)]
+    docs = [(i, " ".join(words_of(rng, 40) + x + words_of(rng, 40))) for i, x in enumerate((copy, passage, passage))]
+    rows = paragraphs.repeated_passages(frame(spark, docs)).where("kind = 'segment'").collect()
+    assert [r["doc_id"] for r in rows] == [2] and rows[0]["duplicate_of"] in (0, 1)
+    assert rows[0]["start_word"] >= 40 and 270 <= rows[0]["n_words"] <= 340 - rows[0]["start_word"]
+
+
 def test_near_paragraphs_against_brute_force(spark):
     rng = random.Random(12)
     lines = []
