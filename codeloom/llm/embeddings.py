@@ -3,8 +3,9 @@
 Lists of nearest neighbours start from groups that random hyperplanes make, and are refined: the neighbours of a
 vector (of either direction) are compared with each other, and each keeps the better ones. Where a list
 is saturated (its worst entry still passes the threshold), it is enlarged to all of the vector's component,
-compared exactly. A sample of vectors is compared with all others to audit the recall; as long as it is below
-the target, more groups are made, lists grow, and the descent goes on.
+compared exactly. Equal vectors are one until the end. A sample of vectors is compared with all others to audit
+the recall; as long as it is below the target, more groups are made, lists grow, and the descent goes on; if
+the sample can't tell, all vectors are compared with all.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ from .common import components, sample_key, written
 THRESHOLD = 0.9
 #: Entries of a neighbour list to begin with; hyperplane tables of a round; vectors of a group and of a block.
 NEIGHBOURS, TABLES, GROUP, BLOCK = 10, 4, 256, 512
+#: Blocks of a component at most: each of its vectors is sent to so many places; more than BLOCK vectors are then a block.
+BLOCKS = 64
 #: The descent ends when fewer than this share of the list entries change, or after so many rounds.
 STILL, ROUNDS = 0.002, 6
-#: Vectors compared with all others; the recall among them that ends the search, and the attempts.
-AUDIT, RECALL, ATTEMPTS = 512, 0.95, 4
+#: Vectors compared with all others, at least and as a share; the recall among them that ends the search, and the attempts.
+AUDIT, AUDIT_SHARE, RECALL, ATTEMPTS = 512, 1 / 1024, 0.95, 4
+#: True edges that an audit must meet; its vectors are made more until it does, up to AUDIT_MOST (or the share).
+ENOUGH, AUDIT_MOST = 100, 16384
 
 
 def vectors(table: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -41,7 +46,7 @@ def vectors(table: DataFrame, key: str = "vec_id", column: str = "embedding") ->
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, wide)
             norm = np.sqrt((x * x).sum(1))
             ok = np.isfinite(norm) & (norm > 0)
-            unit = (x[ok] / norm[ok, None]).astype("<f4")
+            unit = (x[ok] / norm[ok, None]).astype("<f4") + np.float32(0)  # -0.0 equals 0.0
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array([r.tobytes() for r in unit], pa.binary())], ["id", "v"])
 
     return rows.mapInArrow(run, "id bigint, v binary")
@@ -70,7 +75,7 @@ EDGES = "u bigint, v bigint, s float"
 
 
 def _grouped(vecs: DataFrame, n: int, seed: int, k: int) -> DataFrame:
-    """Candidate neighbours from TABLES tables of hyperplane groups. A group far above GROUP is divided by hash."""
+    """Candidate neighbours from TABLES tables of hyperplane groups. A group far above GROUP is divided by hash, and each two parts are compared."""
     bits = max(0, math.ceil(math.log2(max(1, n / GROUP))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,13 +88,15 @@ def _grouped(vecs: DataFrame, n: int, seed: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64) * TABLES + t), b.column(0), b.column(1)], ["g", "id", "v"])
 
     rows = vecs.mapInArrow(run, "g bigint, id bigint, v binary")
-    parts = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 8 * GROUP).select("g", F.ceil(F.col("n") / (8 * GROUP)).cast("int").alias("parts"))
-    rows = rows.join(parts, "g", "left").withColumn("part", F.expr(f"pmod(xxhash64(id, {seed}), coalesce(parts, 1))"))
+    parts = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 8 * GROUP).select("g", F.ceil(F.col("n") / (4 * GROUP)).cast("int").alias("parts"))
+    rows = rows.join(parts, "g", "left").withColumn("part", F.expr(f"cast(pmod(xxhash64(id, {seed}), coalesce(parts, 1)) as int)"))
+    other = F.explode(F.expr("case when parts is null then array(0) else filter(sequence(0, parts - 1), x -> x <> part) end")).alias("other")
+    rows = rows.select("g", "part", "id", "v", other).select("g", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "v")
 
     def near(t: pa.Table) -> pa.Table:
         return _best(t["id"].to_numpy(), _stack(t["v"]), k)
 
-    return rows.select("g", "part", "id", "v").groupBy("g", "part").applyInArrow(near, EDGES)
+    return rows.groupBy("g", "i", "j").applyInArrow(near, EDGES)
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:
@@ -112,7 +119,7 @@ def _descend(graph: DataFrame, vecs: DataFrame, k: int) -> DataFrame:
 
 def _within(nodes: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a < b) above the threshold among the nodes of one root, exactly, block against block."""
-    size = nodes.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    size = nodes.groupBy("root").agg(F.least(F.ceil(F.count("*") / BLOCK), F.lit(BLOCKS)).cast("int").alias("blocks"))
     rows = nodes.join(size, "root").join(vecs, F.col("node") == F.col("id")).withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("root", "block", "id", "v", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v")
@@ -121,35 +128,74 @@ def _within(nodes: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
         i, j = key[1].as_py(), key[2].as_py()
         block, ids, m = t["block"].to_numpy(), t["id"].to_numpy(), _stack(t["v"])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = np.nonzero(m[left] @ m[right].T >= threshold)
-        a, b = left[a], right[b]
-        ok = ids[a] < ids[b] if i == j else ids[a] != ids[b]
-        a, b = a[ok], b[ok]
-        return pa.table({"u": np.minimum(ids[a], ids[b]), "v": np.maximum(ids[a], ids[b]), "s": np.einsum("ij,ij->i", m[a], m[b])})
+        found, right_t = [], m[right].T
+        for lo in range(0, max(1, len(left)), BLOCK):
+            mine = left[lo : lo + BLOCK]
+            s = m[mine] @ right_t
+            a, b = np.nonzero(s >= threshold)
+            s, a, b = s[a, b], ids[mine[a]], ids[right[b]]
+            ok = a < b if i == j else a != b
+            found.append(pa.table({"u": np.minimum(a, b)[ok], "v": np.maximum(a, b)[ok], "s": s[ok]}))
+        return pa.concat_tables(found)
 
     return rows.groupBy("root", "i", "j").applyInArrow(pairs, EDGES)
 
 
-def _audit(vecs: DataFrame, edges: DataFrame, threshold: float) -> float:
-    """Share of the true edges of AUDIT vectors (drawn by hash) that are among the edges; 1 where there is none."""
-    some = vecs.orderBy(sample_key("id"), "id").limit(AUDIT).collect()
-    if not some:
-        return 1.0
-    held = vecs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in some]), b"".join(bytes(r[1]) for r in some)))
+def _true(vecs: DataFrame, some: list, threshold: float) -> DataFrame:
+    """(u, v, pairs): the true edges of some vectors, and the pairs of rows that each stands for."""
+    held = vecs.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in some]), np.array([r["copies"] for r in some]), b"".join(bytes(r["v"]) for r in some)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, raw = held.value
+        ids, copies, raw = held.value
         m = np.frombuffer(raw, "<f4").reshape(len(ids), -1)
-        for b in batches:
-            mine = b.column(0).to_numpy()
-            if len(mine):
+        step = max(1, 4_000_000 // len(ids))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
+                mine, theirs = b.column(0).to_numpy(), b.column(2).to_numpy()
                 a, c = np.nonzero(m @ _stack(b.column(1)).T >= threshold)
                 ok = ids[a] != mine[c]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], mine[c])[ok]), pa.array(np.maximum(ids[a], mine[c])[ok])], ["u", "v"])
+                a, c = a[ok], c[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], mine[c])), pa.array(np.maximum(ids[a], mine[c])), pa.array(copies[a] * theirs[c])], ["u", "v", "pairs"])
+
+    return vecs.select("id", "v", "copies").mapInArrow(run, "u bigint, v bigint, pairs bigint").dropDuplicates(["u", "v"])
 
-    true = vecs.mapInArrow(run, "u bigint, v bigint").distinct()
-    row = true.join(edges.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left").agg(F.count("*"), F.count("hit")).first()
-    return row[1] / row[0] if row[0] else 1.0
+
+def _audit(vecs: DataFrame, edges: DataFrame, threshold: float) -> float | None:
+    """The least share of the true edges of a sample that are among the edges, by edges and by pairs of rows. Two samples, drawn by
+    hash: of all vectors, and of those that have an edge. None: too few true edges among all the vectors that it may hold."""
+    n = vecs.count()
+    most = max(AUDIT_MOST, math.ceil(n * AUDIT_SHARE))
+    hit = edges.select("u", "v", F.lit(1).alias("hit"))
+
+    def recall(some: list) -> tuple[int, float]:
+        row = _true(vecs, some, threshold).join(hit, ["u", "v"], "left").agg(F.count("*"), F.count("hit"), F.sum("pairs"), F.sum(F.expr("pairs * hit"))).first()
+        return row[0], min(row[1] / row[0], (row[3] or 0) / row[2]) if row[0] else 1.0
+
+    size = max(AUDIT, math.ceil(n * AUDIT_SHARE))
+    while True:
+        some = vecs.orderBy(sample_key("id"), "id").limit(size).collect()
+        if not some:
+            return 1.0
+        true, share = recall(some)
+        if share < RECALL or len(some) == n:
+            return share
+        if true >= ENOUGH:
+            break
+        if size >= most:
+            return None
+        size = min(4 * size, most)
+    ends = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    some = vecs.join(ends, "id", "left_semi").orderBy(sample_key("id"), "id").limit(size).collect()
+    return min(share, recall(some)[1]) if some else share
+
+
+def _expanded(edges: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """The edges between distinct vectors as pairs of all rows that have them, and the pairs of rows with equal vectors."""
+    x, y = (members.select(F.col("id").alias(a), F.col("member").alias(b)) for a, b in (("u", "a"), ("v", "b")))
+    apart = edges.join(x, "u").join(y, "v").select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b"), F.col("s").cast("double").alias("similarity"))
+    equal = x.join(y, (F.col("u") == F.col("v")) & (F.col("a") < F.col("b"))).where(F.lit(threshold) <= 1)
+    return apart.union(equal.select("a", "b", F.lit(1.0).alias("similarity")))
 
 
 def near_duplicates(table: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -158,7 +204,10 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", column: str = "embedd
     Equal vectors have similarity 1 and are pairs like any other. Rows without a usable vector (see ``vectors``) are in no
     pair; neither is a key with itself. An empty table gives no rows. Other columns aren't read.
     """
-    vecs = written(vectors(table, key, column), "vectors")
+    rows = written(vectors(table, key, column), "vectors")
+    vecs = written(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "v", "copies"), "distinct")
+    members = rows.join(vecs.select("v", F.col("id").alias("first")), "v").select(F.col("first").alias("id"), F.col("id").alias("member"))
+    members = written(members, "members")
     n = vecs.count()
     k, graph, extra, attempt = neighbours, None, None, 0
     while True:
@@ -178,6 +227,10 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", column: str = "embedd
         extra = _within(roots.join(saturated, "root"), vecs, threshold)
         found = written(edges.union(extra).groupBy("u", "v").agg(F.max("s").alias("s")), "edges")
         attempt += 1
-        if attempt >= ATTEMPTS or _audit(vecs, found, threshold) >= RECALL:
-            return found.select(F.col("u").alias("vec_a"), F.col("v").alias("vec_b"), F.col("s").cast("double").alias("similarity"))
+        share = 1.0 if attempt >= ATTEMPTS else _audit(vecs, found, threshold)
+        if share is None:
+            every = vecs.select(F.lit(0).cast("long").alias("root"), F.col("id").alias("node"))
+            return _expanded(written(_within(every, vecs.select("id", "v"), threshold), "edges"), members, threshold)
+        if share >= RECALL:
+            return _expanded(found, members, threshold)
         k *= 2

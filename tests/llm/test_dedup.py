@@ -165,6 +165,37 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def vector_frame(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+
+
+def test_equal_vectors_far_above_a_group(spark, monkeypatch):
+    """All pairs of equal vectors, also where the audit meets none of them."""
+    monkeypatch.setattr(embeddings, "GROUP", 8)
+    monkeypatch.setattr(embeddings, "AUDIT", 1)
+    x = np.random.default_rng(5).standard_normal((700, 24))
+    x[400:] = x[400]
+    got = [(r["vec_a"], r["vec_b"]) for r in embeddings.near_duplicates(vector_frame(spark, x)).collect()]
+    assert len(got) == len(set(got)) and {(a, b) for a in range(400, 700) for b in range(a + 1, 700)} <= set(got)
+
+
+def test_parts_of_a_group_meet(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "GROUP", 8)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal(24) + 1e-5 * rng.standard_normal((300, 24))
+    vecs = common.written(embeddings.vectors(vector_frame(spark, x)), "v")
+    assert embeddings._grouped(vecs, 300, 11, 300).select("u", "v").distinct().count() >= 0.95 * 300 * 299
+
+
+def test_audit_needs_true_edges(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "AUDIT", 1)
+    x = np.random.default_rng(7).standard_normal((500, 24))
+    x[480:] = x[480] + 1e-3 * np.arange(20)[:, None]
+    vecs = common.written(embeddings.vectors(vector_frame(spark, x)).selectExpr("id", "v", "1L as copies"), "v")
+    edges = spark.createDataFrame([], "u bigint, v bigint, s float")
+    assert embeddings._audit(vecs, edges, 0.9) == 0
+
+
 def test_bands_are_tuned():
     bands, rows = paragraphs.tune(0.5, 0.9, 3)
     assert 1 - (1 - 0.5**rows) ** bands >= 0.9 > 1 - (1 - 0.5**rows) ** (bands - 1)
