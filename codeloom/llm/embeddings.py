@@ -4,8 +4,8 @@ Lists of nearest neighbours start from groups that random hyperplanes make, and
 vector (of either direction) are compared with each other, and each keeps the better ones. Where a list
 is saturated (its worst entry still passes the threshold), it is enlarged to all of the vector's component,
 compared exactly. Equal vectors are one until the end. A sample of vectors is compared with all others to audit
-the recall; as long as it is below the target, more groups are made, lists grow, and the descent goes on; if
-the sample can't tell, all vectors are compared with all.
+the recall; as long as it is below the target, more groups are made, lists grow, and the descent goes on; after
+the last attempt, or if the sample can't tell, all vectors are compared with all.
 """
 
 from __future__ import annotations
@@ -227,8 +227,8 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", column: str = "embedd
         extra = _within(roots.join(saturated, "root"), vecs, threshold)
         found = written(edges.union(extra).groupBy("u", "v").agg(F.max("s").alias("s")), "edges")
         attempt += 1
-        share = 1.0 if attempt >= ATTEMPTS else _audit(vecs, found, threshold)
-        if share is None:
+        share = _audit(vecs, found, threshold)
+        if share is None or attempt >= ATTEMPTS and share < RECALL:
             every = vecs.select(F.lit(0).cast("long").alias("root"), F.col("id").alias("node"))
             return _expanded(written(_within(every, vecs.select("id", "v"), threshold), "edges"), members, threshold)
         if share >= RECALL:

@@ -196,6 +196,18 @@ def test_audit_needs_true_edges(spark, monkeypatch):
     assert embeddings._audit(vecs, edges, 0.9) == 0
 
 
+def test_last_attempt_is_audited(spark, monkeypatch):
+    """Where the descent doesn't converge, the vectors are compared exactly."""
+    for name, value in (("ATTEMPTS", 1), ("ROUNDS", 0), ("TABLES", 1), ("GROUP", 4)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.standard_normal((150, 24)), 4, axis=0) + 0.15 * rng.standard_normal((600, 24))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set(zip(*(p.tolist() for p in np.nonzero(np.triu(u @ u.T >= 0.9001, 1)))))
+    got = {(r["vec_a"], r["vec_b"]) for r in embeddings.near_duplicates(vector_frame(spark, x)).collect()}
+    assert len(want) > 500 and want <= got
+
+
 def test_bands_are_tuned():
     bands, rows = paragraphs.tune(0.5, 0.9, 3)
     assert 1 - (1 - 0.5**rows) ** bands >= 0.9 > 1 - (1 - 0.5**rows) ** (bands - 1)
