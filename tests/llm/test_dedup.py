@@ -121,6 +121,29 @@ def test_plan_holds_its_recall():
         assert all(len(set(t.tolist())) == len(t) <= 30 for t in tables) and len(tables) < 200
 
 
+def test_copies_beyond_the_close_distance(spark):
+    """Copies at 17 to 20 bits go; other texts at that distance stay."""
+    rng = random.Random(21)
+    base = [words_of(rng, 120) for _ in range(400)]
+    texts = [" ".join(w) for w in base] + [" ".join(edited(rng, w, 10)) for w in base]
+    fp, _ = simhash.fingerprints(texts)
+    ham = np.bitwise_count((fp[:400] ^ fp[400:]).view(np.uint64)).sum(1)
+    want = {400 + i for i in np.flatnonzero((ham > simhash.CLOSE) & (ham <= simhash.DISTANCE)).tolist()}
+    got = {r["doc_id"]: r["duplicate_of"] for r in simhash.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert len(want) > 20 and all(k - v == 400 for k, v in got.items()) and len(want & set(got)) >= 0.9 * len(want)
+    pairs = spark.createDataFrame([(0, 400), (0, 1)], "a bigint, b bigint")
+    assert [tuple(r) for r in simhash._same_words(frame(spark, list(enumerate(texts))), pairs, "text", "doc_id", 0.8).collect()] == [(0, 400)]
+
+
+def test_plan_at_the_distance_itself():
+    for n in (10, 10**5, 10**7):
+        tables = simhash.plan(n)
+        share = 2 * len(tables[0]) / 128
+        d = simhash.DISTANCE
+        chance = (1 - share) ** d + d * share * (1 - share) ** (d - 1)
+        assert 1 - (1 - chance) ** len(tables) >= 0.9
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
