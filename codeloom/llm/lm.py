@@ -23,10 +23,10 @@ from .packing import tokenize_and_pack, unpack
 
 #: Ids that a window sees, and scores; numbers of the model; classes.
 CONTEXT, STRIDE, WIDE, CLASSES = 40, 24, 16, 64
-#: Each text's windows are trained on with this chance (by a hash of text and place), in so many rounds, a batch
-#: of windows at a time.
-SHARE, ROUNDS, BATCH, RATE = 1 / 16, 2, 192, 0.08
-_F = np.float32
+#: Each round trains on another share of all texts' windows (by a hash of text and place), a batch of windows at a
+#: time; the rounds together on each window once.
+SHARE, ROUNDS, BATCH, RATE = 1 / 2, 2, 192, 0.08
+_F, _U = np.float32, np.uint64
 _NAMES = ("E", "P", "Q", "K", "V", "O", "U", "b")
 
 
@@ -205,12 +205,16 @@ def _after(packed: DataFrame, cls: np.ndarray) -> np.ndarray:
     return out.reshape(k + 1, k)
 
 
+def _chosen(u: np.ndarray, number: int, share: float) -> np.ndarray:
+    """Which of the windows with these 32-bit hashes are of a round: rounds take one share after another, and begin again after all."""
+    return (u - _U(int(number * share * (1 << 32)) & 0xFFFFFFFF) & _U(0xFFFFFFFF)) < _U(int(share * (1 << 32)))
+
+
 def _round(packed: DataFrame, model: Model, number: int, share: float) -> None:
     """Local descent in each partition from the same parameters, then their mean by targets. An id's row is averaged
     over the partitions that have met it, so what is gathered follows the input."""
     spark = packed.sparkSession
     held = spark.sparkContext.broadcast(model)
-    limit = int(share * (1 << 32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -225,8 +229,8 @@ def _round(packed: DataFrame, model: Model, number: int, share: float) -> None:
                     size += len(lists[hi])
                     hi += 1
                 x, real, target, on, of, w = windows(lists[lo:hi], m.vocab)
-                u = mix64((key[lo:hi][of] * 1_000_003 + w * 31 + number).astype(np.uint64)) >> np.uint64(32)
-                at = np.flatnonzero(u < limit)
+                u = mix64((key[lo:hi][of] * 1_000_003 + w * 31).astype(np.uint64)) >> np.uint64(32)
+                at = np.flatnonzero(_chosen(u, number, share))
                 at = at[np.argsort(mix64(u[at]), kind="stable")]
                 if len(at):
                     seen = descend(m, x[at], real[at], target[at], on[at], RATE, seen)

@@ -159,3 +159,11 @@ def test_pipeline(spark, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(rows) == seen[-1] and all(r["lossless"] in (True, None) for r in rows)
     assert bpe and linededup
+
+
+def test_each_window_is_trained_on():
+    from codeloom.llm import lm
+
+    u = np.append(np.random.default_rng(4).integers(0, 1 << 32, 1000), [0, (1 << 31) - 1, 1 << 31, (1 << 32) - 1]).astype(np.uint64)
+    rounds = [lm._chosen(u, k, lm.SHARE) for k in range(lm.ROUNDS)]
+    assert (np.sum(rounds, axis=0) == 1).all()
