@@ -23,15 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, text_slices, texts_of, uniq, worker_cache
+from .common import column_slices, list_array, texts_of, uniq, worker_cache
 
 #: Rank file (base64 of the token, space, rank). A parameter of every function here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How this vocabulary splits text before the merges.
 SPLIT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(1 << 30)
+NONE_ = int(NONE)
+#: Buckets of at most so many positions are merged one by one.
+FEW = 256
 #: Entries of the chunk memo of a Python worker; beyond them it is emptied, which costs time only.
-MEMO = 400_000
+MEMO = 800_000
+#: Bytes of text whose chunks are numbered, and whose new ones are merged, at once.
+SLICE = 8_000_000
 
 
 def read_ranks(path: str = TOKENIZER) -> list[bytes]:
@@ -50,12 +55,13 @@ class RankQueue:
     """Buckets by rank under a bitmap of 64-bit words in as many levels as the ranks need."""
 
     def __init__(self, n: int):
-        self.buckets: dict[int, list[np.ndarray]] = {}
+        #: Positions of a rank: arrays of them, and single ones as integers.
+        self.buckets: dict[int, list] = {}
         self.levels = [[0] * (n // 64 + 1)]
         while len(self.levels[-1]) > 1:
             self.levels.append([0] * ((len(self.levels[-1]) - 1) // 64 + 1))
 
-    def push(self, rank: int, positions: np.ndarray) -> None:
+    def push(self, rank: int, positions: np.ndarray | int) -> None:
         held = self.buckets.get(rank)
         if held is not None:
             held.append(positions)
@@ -65,7 +71,7 @@ class RankQueue:
             level[rank >> 6] |= 1 << (rank & 63)
             rank >>= 6
 
-    def pop(self) -> tuple[int, list[np.ndarray]] | None:
+    def pop(self) -> tuple[int, list] | None:
         """The bucket of the least rank, by find-first-set from the top level down."""
         at = 0
         for level in reversed(self.levels):
@@ -109,6 +115,7 @@ class Bpe:
             self.merged[at[left[there]]] = v[left[there]]
             left = left[~there]
             at[left] += 1
+        self.pairs = dict(zip(keys, vals))
         part = np.stack([k >> 20, k & (1 << 20) - 1])
         # ranks of tokens that stand in a pair of no greater rank: such a pair may appear when they are merged
         self.risky = np.zeros(len(tokens), bool)
@@ -175,10 +182,44 @@ class Bpe:
                 queue.push(x, at[lo:hi])
                 lo = hi
 
+        tokv, nxtv, prvv, rankv, alivev = (memoryview(x) for x in (tok, nxt, prv, rank, alive))
+        pairs, push1 = self.pairs.get, queue.push
+
+        def merge_few(r: int, at: list[int]) -> None:
+            """A small bucket, from the left, without the fixed cost of array operations."""
+            at.sort()
+            for j, i in enumerate(at):
+                if rankv[i] != r:  # stale
+                    continue
+                gone = nxtv[i]
+                right = nxtv[gone]
+                tokv[i], nxtv[i], alivev[gone], rankv[gone] = r, right, False, NONE_
+                left, lower = prvv[i], False
+                if left != n:
+                    rankv[left] = x = pairs(tokv[left] << 20 | r, NONE_)
+                    if x < NONE_:
+                        push1(x, left)
+                        lower = x < r
+                if right != n:
+                    prvv[right] = i
+                    rankv[i] = x = pairs(r << 20 | tokv[right], NONE_)
+                    if x < NONE_:
+                        push1(x, i)
+                        lower |= x < r
+                else:
+                    rankv[i] = NONE_
+                if lower:  # those come before the rest of this bucket
+                    for i in at[j + 1 :]:
+                        push1(r, i)
+                    return
+
         push(inner)
         while (got := queue.pop()) is not None:
             r, parts = got
-            at = parts[0] if len(parts) == 1 else np.concatenate(parts)
+            if len(parts) <= FEW and (few := _few(parts)) is not None:
+                merge_few(r, few)
+                continue
+            at = _joined(parts)
             at = at[rank[at] == r]  # stale entries are skipped
             if not len(at):
                 continue
@@ -260,7 +301,7 @@ class Bpe:
             cut.append(len(pieces))
         ids, ends = self._ids(pieces)
         stop = ends[np.array([0, *cut], np.int64)]
-        size, start = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        size, start = np.zeros(len(new), np.int32), np.zeros(len(new), np.int32)
         at = np.array(body + heads, np.int64)
         size[at], start[at] = np.diff(stop), stop[:-1] + len(self.flat)
         self.size, self.start = np.append(self.size, size), np.append(self.start, start)
@@ -270,7 +311,7 @@ class Bpe:
     def _forget(self) -> None:
         #: Numbers the chunks in the order in which they come.
         self.memo: defaultdict[str, int] = defaultdict(count().__next__)
-        self.size, self.start, self.uses = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.size, self.start, self.uses = (np.empty(0, np.int32) for _ in range(3))
         self.flat, self.slow = np.empty(0, np.int32), np.empty(0, bool)
 
     def _trim(self) -> None:
@@ -283,44 +324,70 @@ class Bpe:
         self.flat = self.flat[np.repeat(self.start[keep] - np.cumsum(size) + size, size) + np.arange(size.sum())]
         self.memo = defaultdict(count(len(keep)).__next__, zip([names[i] for i in keep.tolist()], range(len(keep))))
         self.size, self.slow, self.uses = size, self.slow[keep], self.uses[keep] // 2
-        self.start = np.cumsum(size) - size
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.start = np.cumsum(size, dtype=np.int32) - size
+
+    def _numbered(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The memo's numbers of all chunks of all texts, and n + 1 ends. Arrow splits, and numbers what differs; only that is met in Python."""
+        lists = pc.split_pattern(column, " ")
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        first = ends[:-1][np.diff(ends) > 0]  # no space stands before these
+        heads = coded.take(pa.array(first)).dictionary_decode().to_numpy(zero_copy_only=False)
+        rest = np.ones(len(at), bool)
+        rest[first] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[at[rest]] = True
+        number = np.zeros(len(used), np.int32)
+        get = self.memo.__getitem__
+        number[used] = np.fromiter(map(get, coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False)), np.int32)
+        idx = number[at]
+        idx[first] = np.fromiter((get(" " + h) for h in heads), np.int32, len(heads))
+        return idx, ends
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and n + 1 offsets; a null text has no ids."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         out, counts = [], []
-        for lo, hi in text_slices(texts, 3_000_000):
+        for lo, hi in column_slices(column, SLICE):
             if len(self.memo) > MEMO:
                 self._trim()
-            known, get = len(self.memo), self.memo.__getitem__
-            seen: list[int] = []
-            many = []
-            for t in texts[lo:hi]:
-                before = len(seen)
-                if t:
-                    head, space, rest = t.partition(" ")
-                    seen.append(get(" " + head))
-                    if space:
-                        seen.extend(map(get, rest.split(" ")))
-                many.append(len(seen) - before)
+            known = len(self.memo)
+            idx, ends = self._numbered(column.slice(lo, hi - lo))
             self._learn(known)
-            idx = np.array(seen, np.int64)
-            self.uses = np.append(self.uses, np.zeros(len(self.memo) - known, np.int64)) + np.bincount(idx, minlength=len(self.memo))
+            self.uses = np.append(self.uses, np.zeros(len(self.memo) - known, np.int32)) + np.bincount(idx, minlength=len(self.memo)).astype(np.int32)
             size = self.size[idx]
-            total = np.cumsum(size)
-            ends = np.append(0, np.cumsum(many))
-            ids = self.flat[np.repeat(self.start[idx] - total + size, size) + np.arange(size.sum())] if len(idx) else np.empty(0, np.int32)
-            n = np.diff(np.append(0, total)[ends])
-            for i in np.unique(np.searchsorted(ends, np.flatnonzero(self.slow[idx]), "right") - 1)[::-1].tolist():
-                got = self._ids(self.split.findall(texts[lo + i]))[0]
-                at = int(n[:i].sum())
-                ids = np.concatenate([ids[:at], got, ids[at + n[i] :]])
-                n[i] = len(got)
+            total = np.cumsum(size, dtype=np.int32)  # a slice has fewer bytes than 2**31, hence fewer ids
+            # a chunk's ids lie in a row: from its start on, each is one step beyond the one before
+            ids = self.flat[np.repeat(self.start[idx] - total + size, size) + np.arange(total[-1], dtype=np.int32)] if len(idx) else np.empty(0, np.int32)
+            n = np.diff(np.append(np.int32(0), total)[ends])
+            slow = np.unique(np.searchsorted(ends, np.flatnonzero(self.slow[idx]), "right") - 1)
+            if len(slow):
+                ids, n = self._slow(column, lo, slow, ids, n)
             out.append(ids)
             counts.append(n)
-        offsets = np.zeros(len(texts) + 1, np.int64)
+        offsets = np.zeros(len(column) + 1, np.int64)
         np.cumsum(np.concatenate(counts) if counts else [], out=offsets[1:])
         return np.concatenate(out) if out else np.empty(0, np.int32), offsets
 
+    def _slow(self, column: pa.Array, lo: int, slow: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts with a chunk that its surroundings split otherwise, split as wholes."""
+        pieces: list[str] = []
+        cut = [0]
+        for i in slow.tolist():
+            pieces += self.split.findall(column[lo + i].as_py())
+            cut.append(len(pieces))
+        new, ends = self._ids(pieces)
+        stop = ends[cut]
+        old = np.append(0, np.cumsum(n))
+        parts, at = [], 0
+        for k, i in enumerate(slow.tolist()):
+            parts += [ids[at : old[i]], new[stop[k] : stop[k + 1]]]
+            at = old[i + 1]
+        n = n.copy()
+        n[slow] = np.diff(stop)
+        return np.concatenate([*parts, ids[at:]]), n
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The bytes of each list of ids, as an Arrow binary column."""
         flat = self.binary.take(pa.array(ids, pa.int32()))
@@ -328,6 +395,26 @@ class Bpe:
         return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(at[offsets].astype(np.int32)), flat.buffers()[2]])
 
 
+def _few(parts: list) -> list[int] | None:
+    """The positions of a bucket, None if they are more than FEW."""
+    out: list[int] = []
+    for x in parts:
+        if isinstance(x, int):
+            out.append(x)
+        elif len(x) + len(out) > FEW:
+            return None
+        else:
+            out += x.tolist()
+    return out
+
+
+def _joined(parts: list) -> np.ndarray:
+    if len(parts) == 1 and not isinstance(parts[0], int):
+        return parts[0]
+    ones = np.array([x for x in parts if isinstance(x, int)], np.int32)
+    return np.concatenate([*(x for x in parts if not isinstance(x, int)), ones])
+
+
 def _member(left: np.ndarray, at: np.ndarray, nxt: np.ndarray, alive: np.ndarray) -> np.ndarray:
     """Where ``left`` is the second half of another pair that merges in this step."""
     gone = nxt[at]
@@ -376,12 +463,11 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer:
         bpe = loaded(held)
         for b in batches:
             column = b.column(1)
-            texts = column.to_pylist()
-            for lo, hi in text_slices(texts, 8_000_000):
-                part = texts[lo:hi]
+            for lo, hi in column_slices(column, SLICE):
+                part = column.slice(lo, hi - lo)
                 ids, offsets = bpe.encode(part)
-                null = np.array([t is None for t in part], bool)
-                same = pc.equal(bpe.decode(ids, offsets), column.slice(lo, hi - lo).cast(pa.binary()))
+                null = part.is_null().to_numpy(zero_copy_only=False)
+                same = pc.equal(bpe.decode(ids, offsets), part.cast(pa.binary()))
                 n = pa.array(np.diff(offsets).astype(np.int32), mask=null)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), n, list_array(ids, offsets, pa.int32(), null), same], ["doc_id", "n_tokens", "ids", "lossless"])
 

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +104,17 @@ def text_slices(texts: list, limit: int = 1_500_000):
         trim()
 
 
+def column_slices(column: pa.Array, limit: int):
+    """(start, stop) runs of a string column with at most about ``limit`` bytes each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(size):
+        stop = int(np.searchsorted(size, (size[start - 1] if start else 0) + limit)) + 1
+        yield start, min(stop, len(size))
+        start = stop
+        trim()
+
+
 def uniq(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values; for integers several times as fast as ``np.unique``."""
     x = np.sort(x)
