@@ -25,7 +25,7 @@ THRESHOLD = 0.9
 NEIGHBOURS, TABLES, GROUP, BLOCK = 10, 4, 256, 512
 #: Blocks of a component at most: each of its vectors is sent to so many places; more than BLOCK vectors are then a block.
 BLOCKS = 64
-#: The descent ends when fewer than this share of the list entries change, or after so many rounds.
+#: The descent ends when fewer than this share of the entries that pass the threshold are new, or after so many rounds.
 STILL, ROUNDS = 0.002, 6
 #: Vectors compared with all others, at least and as a share; the recall among them that ends the search, and the attempts.
 AUDIT, AUDIT_SHARE, RECALL, ATTEMPTS = 512, 1 / 1024, 0.95, 4
@@ -100,21 +100,62 @@ def _grouped(vecs: DataFrame, n: int, seed: int, k: int) -> DataFrame:
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:
-    one = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
+    """The k best of each list; an edge that was there before stays old."""
+    one = edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
     return one.withColumn("r", F.expr("row_number() over (partition by u order by s desc, v)")).where(F.col("r") <= k)
 
 
-def _descend(graph: DataFrame, vecs: DataFrame, k: int) -> DataFrame:
-    """One round: neighbours of neighbours, through each vector that both are neighbours of."""
-    floor = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
-    back = graph.selectExpr("v as pivot", "u as id", "s").withColumn("r", F.expr("row_number() over (partition by pivot order by s desc, id)")).where(F.col("r") <= k)
-    members = graph.selectExpr("u as pivot", "v as id").union(back.select("pivot", "id")).distinct()
-    known = vecs.join(floor, F.col("id") == F.col("u"), "left").select("id", "v", F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"))
+def _compared(pivot: np.ndarray, ids: np.ndarray, m: np.ndarray, floor: np.ndarray, fresh: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The members of each pivot (rows in a run) against each other, but for two old ones: what exceeds a member's floor, k for each at most."""
+    starts = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
+    size = np.diff(np.append(starts, len(pivot)))
+    wide = int(size.max())
+    step = max(1, 1_000_000 // (wide * wide))
+    for lo in range(0, len(starts), step):
+        n = size[lo : lo + step]
+        at = starts[lo : lo + step, None] + np.arange(wide)
+        there = np.arange(wide) < n[:, None]
+        at = np.where(there, at, 0)
+        x = m[at]
+        s = x @ x.transpose(0, 2, 1)
+        new = fresh[at]
+        s[~(there[:, :, None] & there[:, None, :] & (new[:, :, None] | new[:, None, :]))] = -2
+        s[:, np.arange(wide), np.arange(wide)] = -2
+        s[s <= floor[at][:, :, None]] = -2
+        if wide > k:
+            best = np.argpartition(-s, k - 1, axis=2)[:, :, :k]
+            val = np.take_along_axis(s, best, 2)
+        else:
+            best, val = np.broadcast_to(np.arange(wide), s.shape), s
+        g, row, col = np.nonzero(val > -1.5)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at[g, row]]), pa.array(ids[at[g, best[g, row, col]]]), pa.array(val[g, row, col])], ["u", "v", "s"])
 
-    def near(t: pa.Table) -> pa.Table:
-        return _best(t["id"].to_numpy(), _stack(t["v"]), k, t["floor"].to_numpy())
 
-    return members.join(known, "id").select("pivot", "id", "v", "floor").groupBy("pivot").applyInArrow(near, EDGES)
+def _descend(graph: DataFrame, vecs: DataFrame, k: int) -> DataFrame:
+    """One round: neighbours of neighbours, through each vector that both are neighbours of; it is one of them itself. Only pairs with an
+    edge that is new since the last round are compared, and pivots without such an edge send nothing."""
+    floor = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-1.5)).cast("float").alias("floor"))
+    back = graph.selectExpr("v as pivot", "u as id", "s", "fresh").withColumn("r", F.expr("row_number() over (partition by pivot order by s desc, id)")).where(F.col("r") <= k)
+    both = graph.selectExpr("u as pivot", "v as id", "fresh").union(back.select("pivot", "id", "fresh"))
+    live = both.where("fresh").select("pivot").distinct()
+    itself = live.select("pivot", F.col("pivot").alias("id"), F.lit(False).alias("fresh"))
+    members = both.join(live, "pivot", "left_semi").union(itself).groupBy("pivot", "id").agg(F.max("fresh").alias("fresh"))
+    known = vecs.join(floor, F.col("id") == F.col("u"), "left").select("id", "v", F.coalesce("floor", F.lit(-1.5).cast("float")).alias("floor"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the rows of the last pivot of a batch: 2k + 1 at most in all
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            pivot = t["pivot"].to_numpy()
+            cut = int(np.searchsorted(pivot, pivot[-1])) if len(pivot) else 0
+            held, t = t.slice(cut), t.slice(0, cut)
+            if cut:
+                yield from _compared(pivot[:cut], t["id"].to_numpy(), _stack(t["v"]), t["floor"].to_numpy(), t["fresh"].to_numpy(), k)
+        if held is not None and held.num_rows:
+            yield from _compared(held["pivot"].to_numpy(), held["id"].to_numpy(), _stack(held["v"]), held["floor"].to_numpy(), held["fresh"].to_numpy(), k)
+
+    rows = members.join(known, "id").select("pivot", "id", "v", "floor", "fresh")
+    return rows.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(near, EDGES)
 
 
 def _within(nodes: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
@@ -190,34 +231,20 @@ def _audit(vecs: DataFrame, edges: DataFrame, threshold: float) -> float | None:
     return min(share, recall(some)[1]) if some else share
 
 
-def _expanded(edges: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """The edges between distinct vectors as pairs of all rows that have them, and the pairs of rows with equal vectors."""
-    x, y = (members.select(F.col("id").alias(a), F.col("member").alias(b)) for a, b in (("u", "a"), ("v", "b")))
-    apart = edges.join(x, "u").join(y, "v").select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b"), F.col("s").cast("double").alias("similarity"))
-    equal = x.join(y, (F.col("u") == F.col("v")) & (F.col("a") < F.col("b"))).where(F.lit(threshold) <= 1)
-    return apart.union(equal.select("a", "b", F.lit(1.0).alias("similarity")))
-
-
-def near_duplicates(table: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(vec_a, vec_b, similarity): the pairs vec_a < vec_b with a cosine of ``threshold`` or more, each once.
-
-    Equal vectors have similarity 1 and are pairs like any other. Rows without a usable vector (see ``vectors``) are in no
-    pair; neither is a key with itself. An empty table gives no rows. Other columns aren't read.
-    """
-    rows = written(vectors(table, key, column), "vectors")
+def near_edges(rows: DataFrame, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
+    """From usable vectors (id, v): the distinct ones (id: the least of its rows, v, copies), and the edges (u < v, s) between those
+    with a cosine of ``threshold`` or more."""
     vecs = written(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "v", "copies"), "distinct")
-    members = rows.join(vecs.select("v", F.col("id").alias("first")), "v").select(F.col("first").alias("id"), F.col("id").alias("member"))
-    members = written(members, "members")
     n = vecs.count()
-    k, graph, extra, attempt = neighbours, None, None, 0
+    k, graph, attempt = neighbours, None, 0
+    old, new = F.lit(False).alias("fresh"), F.lit(True).alias("fresh")
     while True:
-        start = _grouped(vecs, n, 11 + attempt, k)
-        graph = written(_top(start if graph is None else graph.select("u", "v", "s").union(start), k), "graph")
+        start = _grouped(vecs, n, 11 + attempt, k).select("u", "v", "s", new)
+        graph = written(_top(start if graph is None else graph.select("u", "v", "s", old).union(start), k), "graph")
         for _ in range(ROUNDS):
-            new = written(_top(graph.select("u", "v", "s").union(_descend(graph, vecs, k)), k), "graph")
-            changed = new.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
-            graph = new
-            if changed <= STILL * n * k:
+            graph = written(_top(graph.select("u", "v", "s", old).union(_descend(graph, vecs, k).select("u", "v", "s", new)), k), "graph")
+            passing, came = graph.where(F.col("s") >= threshold).agg(F.count("*"), F.count_if("fresh")).first()
+            if came <= STILL * passing:
                 break
         over = graph.where(F.col("s") >= threshold)
         edges = over.selectExpr("least(u, v) as u", "greatest(u, v) as v", "s")
@@ -230,7 +257,25 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", column: str = "embedd
         share = _audit(vecs, found, threshold)
         if share is None or attempt >= ATTEMPTS and share < RECALL:
             every = vecs.select(F.lit(0).cast("long").alias("root"), F.col("id").alias("node"))
-            return _expanded(written(_within(every, vecs.select("id", "v"), threshold), "edges"), members, threshold)
+            return vecs, written(_within(every, vecs.select("id", "v"), threshold), "edges")
         if share >= RECALL:
-            return _expanded(found, members, threshold)
+            return vecs, found
         k *= 2
+
+
+def near_duplicates(table: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(vec_id, class_id, links) for each row with a usable vector (see ``vectors``): the least key of its class, the connected component of
+    pairs with a cosine of ``threshold`` or more, and with how many other rows it is such a pair.
+
+    Equal vectors are pairs like any other, counted without being expanded. Of rows that repeat a key the greatest vector stands for all.
+    Without a partner the class is the row itself, with 0 links. An empty table gives no rows. Other columns aren't read.
+    """
+    rows = written(vectors(table, key, column), "vectors")
+    vecs, edges = near_edges(rows, threshold, neighbours)
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other")), F.struct(F.col("v").alias("id"), F.col("u").alias("other")))).alias("e")).select("e.*")
+    links = ends.join(vecs.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("apart"))
+    roots = components(edges, "u", "v").select(F.col("node").alias("id"), "root")
+    judged = vecs.join(links, "id", "left").join(roots, "id", "left")
+    equal = F.col("copies") - 1 if threshold <= 1 else F.lit(0)
+    judged = judged.select("v", F.coalesce("root", "id").alias("class_id"), (equal + F.coalesce("apart", F.lit(0))).alias("links"))
+    return rows.join(judged, "v").select(F.col("id").alias("vec_id"), "class_id", "links")

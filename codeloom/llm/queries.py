@@ -75,4 +75,15 @@ WITH lines AS (
 SELECT d.doc_id, CASE WHEN changed THEN kept ELSE text END AS text, lang, source, n_chars
 FROM documents d LEFT JOIN built b ON d.doc_id = b.doc_id
 WHERE NOT coalesce(changed, false) OR left_over > 0""",
+    "op8_embedding_dedup": f"""
+WITH RECURSIVE usable AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+), edges AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding, b.embedding) >= {embeddings.THRESHOLD}
+), reached AS (
+  SELECT vec_id AS node, vec_id AS root FROM usable
+  UNION SELECT e.v, r.root FROM reached r JOIN edges e ON e.u = r.node WHERE r.root < e.v
+)
+SELECT r.node AS vec_id, min(r.root) AS class_id, (SELECT count(*) FROM edges e WHERE e.u = r.node) AS links
+FROM reached r GROUP BY r.node""",
 }

@@ -169,6 +169,22 @@ def test_without_ids_by_shuffle(spark, monkeypatch):
     assert sorted(str(r["doc_id"]) for r in common.without_ids(odd(spark), ids).collect()) == sorted(str(r["doc_id"]) for r in odd(spark).collect() if r["doc_id"] != 1)
 
 
+def classes_brute(x, ids, threshold=0.9):
+    """{id: (class, links)} of vectors in the order of their ids."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= threshold
+    root = list(range(len(x)))
+    for a, b in zip(*np.nonzero(np.triu(near, 1))):
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    for i in range(len(root)):
+        root[i] = root[root[i]]
+    return {ids[i]: (ids[root[i]], int(near[i].sum()) - 1) for i in range(len(x))}
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 24))
@@ -176,15 +192,14 @@ def test_embeddings_against_brute_force(spark):
         x[20 * k : 20 * k + 6] = x[20 * k] + 0.06 * rng.standard_normal((6, 24))
     x[1400:1480] = x[1400] + 0.03 * rng.standard_normal((80, 24))  # saturates the lists
     x[1490] = x[1491]
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = np.nonzero(np.triu(u @ u.T >= 0.9, 1))
-    want = set(zip(a.tolist(), b.tolist()))
     rows = [(i, [float(v) for v in x[i]], i % 3) for i in range(1500)]
     rows += [(2000, None, 0), (2001, [], 0), (2002, [0.0] * 24, 0), (2003, [1.0] * 5, 0), (2004, [float("nan")] * 24, 0), (2005, [None] * 24, 0), (None, [1.0] * 24, 0), (0, [float(v) for v in x[0]], 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, id int")
-    got = {(r["vec_a"], r["vec_b"]): r["similarity"] for r in embeddings.near_duplicates(df).collect()}
-    assert set(got) <= {p for p in want} | {(int(p), int(q)) for p, q in zip(*np.nonzero(np.triu(u @ u.T >= 0.8999, 1)))}
-    assert len(set(got) & want) >= 0.95 * len(want) and (1490, 1491) in got
+    got = {r["vec_id"]: (r["class_id"], r["links"]) for r in embeddings.near_duplicates(df).collect()}
+    want = classes_brute(x, list(range(1500)))
+    assert set(got) == set(want) and got[1490] == (1490, 1) == got[1491]
+    assert sum(n for _, n in got.values()) >= 0.95 * sum(n for _, n in want.values())
+    assert np.mean([got[i] == want[i] for i in want]) >= 0.98 and all(got[i][1] <= want[i][1] for i in want)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -198,8 +213,8 @@ def test_equal_vectors_far_above_a_group(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "AUDIT", 1)
     x = np.random.default_rng(5).standard_normal((700, 24))
     x[400:] = x[400]
-    got = [(r["vec_a"], r["vec_b"]) for r in embeddings.near_duplicates(vector_frame(spark, x)).collect()]
-    assert len(got) == len(set(got)) and {(a, b) for a in range(400, 700) for b in range(a + 1, 700)} <= set(got)
+    got = {r["vec_id"]: (r["class_id"], r["links"]) for r in embeddings.near_duplicates(vector_frame(spark, x)).collect()}
+    assert all(got[i] == (400, 299) for i in range(400, 700)) and all(got[i] == (i, 0) for i in range(400))
 
 
 def test_parts_of_a_group_meet(spark, monkeypatch):
@@ -225,10 +240,9 @@ def test_last_attempt_is_audited(spark, monkeypatch):
         monkeypatch.setattr(embeddings, name, value)
     rng = np.random.default_rng(8)
     x = np.repeat(rng.standard_normal((150, 24)), 4, axis=0) + 0.15 * rng.standard_normal((600, 24))
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    want = set(zip(*(p.tolist() for p in np.nonzero(np.triu(u @ u.T >= 0.9001, 1)))))
-    got = {(r["vec_a"], r["vec_b"]) for r in embeddings.near_duplicates(vector_frame(spark, x)).collect()}
-    assert len(want) > 500 and want <= got
+    got = {r["vec_id"]: (r["class_id"], r["links"]) for r in embeddings.near_duplicates(vector_frame(spark, x)).collect()}
+    want = classes_brute(x, list(range(600)))
+    assert sum(n for _, n in want.values()) > 1000 and got == want
 
 
 def test_bands_are_tuned():
