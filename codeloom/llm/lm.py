@@ -10,6 +10,7 @@ them once. Windows are batched; a mask hides what comes later and what lies befo
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ CONTEXT, STRIDE, WIDE, CLASSES = 40, 24, 16, 64
 #: Each round trains on another share of all texts' windows (by a hash of text and place), a batch of windows at a
 #: time; the rounds together on each window once.
 SHARE, ROUNDS, BATCH, RATE = 1 / 2, 2, 192, 0.08
+#: Bound of attention and class logits.
+LIMIT = 60.0
 _F, _U = np.float32, np.uint64
 _NAMES = ("E", "P", "Q", "K", "V", "O", "U", "b")
 
@@ -56,51 +59,74 @@ class Model:
         self.p = {"E": 0.3 * draw(n + 1, d), "P": 0.3 * draw(CONTEXT, d), "Q": draw(d, d), "K": draw(d, d), "V": draw(d, d), "O": 0.3 * draw(d, d), "U": 0.3 * draw(d, CLASSES), "b": np.zeros(CLASSES, _F)}
 
     def forward(self, x: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-        """x: (windows, CONTEXT) ids; real: which slots hold one. Class logits for the last STRIDE slots."""
-        p, s = self.p, CONTEXT - STRIDE
-        h = p["E"][x] + p["P"]
-        q, k, v = h[:, s:] @ p["Q"], h @ p["K"], h @ p["V"]
-        a = q @ k.transpose(0, 2, 1) * _F(1 / np.sqrt(WIDE))
-        a += np.where(real, _F(0), _F(-1e9))[:, None, :]
+        """x: (windows, CONTEXT) ids; real: which slots hold one. Class logits for the last STRIDE slots. Logits are held within
+        LIMIT, so that no maximum need be taken off before exp. a: attention before its division by w, its sums."""
+        p, s, d = self.p, CONTEXT - STRIDE, WIDE
+        h = p["E"].take(x, 0)
+        h += p["P"]
+        late = np.ascontiguousarray(h[:, s:])
+        q = (late.reshape(-1, d) @ (p["Q"] * _F(1 / np.sqrt(d)))).reshape(late.shape)
+        kv = (h.reshape(-1, d) @ np.concatenate([p["K"], p["V"]], 1)).reshape(len(x), CONTEXT, 2 * d)
+        k, v = kv[:, :, :d], kv[:, :, d:]
+        a = q @ k.transpose(0, 2, 1)
+        np.clip(a, -LIMIT, LIMIT, out=a)
         a += _CAUSAL
-        np.exp(a - a.max(2, keepdims=True), out=a)
-        a /= a.sum(2, keepdims=True)
+        if not real.all():
+            a += np.where(real, _F(0), _F(-1e9))[:, None, :]
+        np.exp(a, out=a)
+        w = (a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, _F)).reshape(len(x), STRIDE, 1)
         o = a @ v
-        z = o @ p["O"] + h[:, s:]
-        y = z @ p["U"] + p["b"] + self.pair[self.cls[x[:, s:]]]
-        return {"h": h, "q": q, "k": k, "v": v, "a": a, "o": o, "z": z, "y": y}
+        o /= w
+        z = (o.reshape(-1, d) @ p["O"]).reshape(o.shape)
+        z += late
+        y = (z.reshape(-1, d) @ p["U"]).reshape(len(x), STRIDE, CLASSES)
+        y += (self.pair + p["b"]).take(self.cls.take(x[:, s:]), 0)
+        np.clip(y, -LIMIT, LIMIT, out=y)
+        return {"h": h, "late": late, "q": q, "k": k, "v": v, "a": a, "w": w, "o": o, "z": z, "y": y}
 
     def log_probs(self, x: np.ndarray, real: np.ndarray, target: np.ndarray) -> np.ndarray:
-        y = self.forward(x, real)["y"]
-        top = y.max(2)
-        c = np.take_along_axis(y, self.cls[target][..., None], 2)[..., 0]
-        return c - top - np.log(np.exp(y - top[..., None]).sum(2)) + self.inside[target]
+        y = self.forward(x, real)["y"].reshape(-1, CLASSES)
+        c = y[np.arange(len(y)), self.cls.take(target.ravel())]
+        np.exp(y, out=y)
+        return (c - np.log(y @ np.ones(CLASSES, _F))).reshape(target.shape) + self.inside.take(target)
 
     def gradients(self, x: np.ndarray, real: np.ndarray, target: np.ndarray, on: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss of the targets that are ``on``."""
-        p, s, f = self.p, CONTEXT - STRIDE, self.forward(x, real)
-        y = np.exp(f["y"] - f["y"].max(2, keepdims=True))
-        y /= y.sum(2, keepdims=True)
-        i, j = np.nonzero(on)
-        y[i, j, self.cls[target[i, j]]] -= 1
-        y *= (on / max(1, len(i))).astype(_F)[..., None]
+        p, d, f = self.p, WIDE, self.forward(x, real)
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"U": flat(f["z"]).T @ flat(y), "b": flat(y).sum(0)}
+        y = flat(f["y"])
+        np.exp(y, out=y)
+        share = on.ravel() / max(1, np.count_nonzero(on))
+        y *= (share / (y @ np.ones(CLASSES, _F))).astype(_F)[:, None]
+        y[np.arange(len(y)), self.cls.take(target.ravel())] -= share.astype(_F)
+        g = {"U": flat(f["z"]).T @ y, "b": y.sum(0)}
         dz = y @ p["U"].T
-        g["O"] = flat(f["o"]).T @ flat(dz)
-        do = dz @ p["O"].T
-        dv = f["a"].transpose(0, 2, 1) @ do
+        g["O"] = flat(f["o"]).T @ dz
+        do = (dz @ p["O"].T).reshape(f["o"].shape)
+        a = f["a"]
+        a /= f["w"]
+        dv = a.transpose(0, 2, 1) @ do
         da = do @ f["v"].transpose(0, 2, 1)
-        da = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True)) * _F(1 / np.sqrt(WIDE))
-        dq, dk = da @ f["k"], da.transpose(0, 2, 1) @ f["q"]
-        h = f["h"]
-        g["Q"], g["K"], g["V"] = flat(h[:, s:]).T @ flat(dq), flat(h).T @ flat(dk), flat(h).T @ flat(dv)
-        dh = dk @ p["K"].T + dv @ p["V"].T
-        dh[:, s:] += dz + dq @ p["Q"].T
-        dh *= real[..., None]
+        da -= (do * f["o"]).sum(2, keepdims=True)  # the same as the sum of da * a
+        da *= a
+        dq, dk = flat(da @ f["k"]), flat(da.transpose(0, 2, 1) @ f["q"])
+        h, late = flat(f["h"]), flat(f["late"])
+        dq *= _F(1 / np.sqrt(d))
+        dkv = np.concatenate([dk, flat(dv)], 1)
+        g["Q"], kv = late.T @ dq, h.T @ dkv
+        g["K"], g["V"] = kv[:, :d], kv[:, d:]
+        dh = (dkv @ np.concatenate([p["K"], p["V"]], 1).T).reshape(f["h"].shape)
+        dz += dq @ p["Q"].T
+        dh[:, CONTEXT - STRIDE :] += dz.reshape(f["late"].shape)
+        if not real.all():
+            dh *= real[..., None]
         g["P"] = dh.sum(0)
-        g["ids"], at = np.unique(x, return_inverse=True)
-        g["E"] = np.stack([np.bincount(at.ravel(), dh[..., c].ravel(), len(g["ids"])) for c in range(WIDE)], 1).astype(_F)
+        ids = x.ravel()
+        # sixteen bits are sorted by radix
+        order = np.argsort(ids.astype(np.uint16) if self.vocab < 1 << 16 else ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        g["ids"], g["E"] = ids[first], np.add.reduceat(flat(dh)[order], first, axis=0)
         return g
 
 
@@ -125,7 +151,7 @@ def windows(lists: list[np.ndarray], vocab: int) -> tuple[np.ndarray, np.ndarray
     return x, real, target, on, of, w
 
 
-def score_ids(model: Model, lists: list[np.ndarray], batch: int = 256) -> np.ndarray:
+def score_ids(model: Model, lists: list[np.ndarray], batch: int = 128) -> np.ndarray:
     """Log-likelihood of each list of ids; 0 for an empty one."""
     out = np.zeros(len(lists))
     lo = 0
@@ -172,10 +198,7 @@ def _counts(packed: DataFrame, vocab: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab, np.int64)
         for b in batches:
-            for a in _lists(b):
-                total += np.bincount(a, minlength=vocab) if len(a) > 5000 else 0
-                if len(a) <= 5000:
-                    np.add.at(total, a, 1)
+            total += np.bincount(np.concatenate([np.empty(0, np.int64), *_lists(b)]), minlength=vocab)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -193,10 +216,12 @@ def _after(packed: DataFrame, cls: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k + 1) * k, np.int64)
         for b in batches:
-            for a in _lists(b):
-                if len(a):
-                    c = held.value[a]
-                    np.add.at(total, np.append(k, c[:-1]) * k + c, 1)
+            lists = [a for a in _lists(b) if len(a)]
+            if lists:
+                c = held.value[np.concatenate(lists)]
+                before = np.append(k, c[:-1])
+                before[np.append(0, np.cumsum([len(a) for a in lists])[:-1])] = k
+                total += np.bincount(before * k + c, minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["id", "n"])
 
     out = np.zeros((k + 1) * k)
@@ -217,7 +242,8 @@ def _round(packed: DataFrame, model: Model, number: int, share: float) -> None:
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        # a worker that is used again still holds the broadcast's object: it must stay as it was sent
+        m = copy.copy(held.value)
         m.p = {k: v.copy() for k, v in m.p.items()}
         seen, targets, met = None, 0, np.zeros(m.vocab + 1, np.int64)
         for b in batches:

@@ -167,3 +167,44 @@ def test_each_window_is_trained_on():
     u = np.append(np.random.default_rng(4).integers(0, 1 << 32, 1000), [0, (1 << 31) - 1, 1 << 31, (1 << 32) - 1]).astype(np.uint64)
     rounds = [lm._chosen(u, k, lm.SHARE) for k in range(lm.ROUNDS)]
     assert (np.sum(rounds, axis=0) == 1).all()
+
+
+def test_a_round_is_the_mean_of_the_partitions(spark):
+    """Each partition starts from the parameters as they were sent, also where a Python worker is used again."""
+    import copy
+
+    from codeloom.llm import common, lm, packing
+
+    rng, vocab = np.random.default_rng(9), 200
+    lists = [rng.zipf(1.4, n).clip(1, vocab) - 1 for n in rng.integers(0, 150, 120)]
+    rows = [(i, len(a), 8, packing.pack(a, 8)) for i, a in enumerate(lists)]
+    df = common.written(spark.createDataFrame(rows, "doc_id bigint, n_tokens int, bits int, payload binary").repartition(12), "packed")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        parts = {}
+        for r in df.selectExpr("spark_partition_id() as p", "doc_id").collect():
+            parts.setdefault(r["p"], []).append(r["doc_id"])
+        counts = np.bincount(np.concatenate(lists), minlength=vocab)
+        model = lm.Model(counts)
+        model.pair = lm.Model(counts, np.ones((lm.CLASSES + 1, lm.CLASSES))).pair
+        sums = {k: np.zeros(v.shape) for k, v in model.p.items()}
+        total, met_by = 0, np.zeros(vocab + 1)
+        for ids in parts.values():
+            m = copy.copy(model)
+            m.p = {k: v.copy() for k, v in model.p.items()}
+            x, real, target, on, of, w = lm.windows([lists[i].astype(np.int64) for i in ids], vocab)
+            u = common.mix64((np.array(ids)[of] * 1_000_003 + w * 31).astype(np.uint64)) >> np.uint64(32)
+            at = np.flatnonzero(lm._chosen(u, 0, 0.5))
+            at = at[np.argsort(common.mix64(u[at]), kind="stable")]
+            lm.descend(m, x[at], real[at], target[at], on[at], lm.RATE)
+            n, met = int(on[at].sum()), np.bincount(x[at][real[at]], minlength=vocab + 1)
+            total, met_by = total + n, met_by + met
+            for k in sums:
+                sums[k] += m.p[k] * (met[:, None] if k == "E" else n)
+        lm._round(df, model, 0, 0.5)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(parts) > 4
+    for k in sums:
+        want = np.where(met_by[:, None] > 0, sums[k] / np.maximum(met_by, 1)[:, None], model.p[k]) if k == "E" else sums[k] / total
+        assert np.allclose(model.p[k], want, atol=1e-4), k
