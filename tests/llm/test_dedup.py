@@ -115,6 +115,31 @@ def test_one_of_each_group_stays(spark):
     assert {r["doc_id"] for r in simhash.near_duplicates(odd(spark)).collect()} == {8}
 
 
+def test_unary_embedding_is_the_manhattan_distance(spark):
+    rng = np.random.default_rng(2)
+    a = rng.integers(-(1 << 63), 1 << 63, (300, 2), dtype=np.int64)
+    b = rng.integers(-(1 << 63), 1 << 63, (300, 2), dtype=np.int64)
+    df = spark.createDataFrame([(*map(int, x), *map(int, y)) for x, y in zip(a, b)], "a bigint, b bigint, c bigint, d bigint")
+    got = df.selectExpr(f"bit_count({simhash._unary('a')} ^ {simhash._unary('c')}) + bit_count({simhash._unary('b')} ^ {simhash._unary('d')}) as m").collect()
+    assert [r["m"] for r in got] == np.abs(simhash.embed(a).astype(int) - simhash.embed(b)).sum(1).tolist()
+
+
+def test_copies_that_lost_their_shared_lines(spark):
+    """After line dedup a near copy has only the lines that were changed; by the originals it goes all the same."""
+    rng = random.Random(9)
+    docs = [(i, "\n".join(" ".join(words_of(rng, 12)) for _ in range(8))) for i in range(40)]
+    for i in range(10):
+        lines = docs[i][1].split("\n")
+        for j in rng.sample(range(8), 3):
+            lines[j] = " ".join(edited(rng, lines[j].split(), 1))
+        docs.append((100 + i, "\n".join(lines)))
+    df = frame(spark, [*docs, (None, docs[0][1]), (200, None)])
+    left = common.written(linededup.dedup_lines(df), "left")
+    assert {r["doc_id"] for r in left.collect()} >= set(range(100, 110))
+    kept = [r["doc_id"] for r in simhash.keep_one(left, originals=df).collect()]
+    assert sorted(x for x in kept if x is not None) == [*range(40), 200]
+
+
 def test_plan_holds_its_recall():
     for n in (10, 10**5, 10**7, 10**10):
         tables = simhash.plan(n)
