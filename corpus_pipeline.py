@@ -10,22 +10,28 @@ from codeloom.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that score as toxic; the model is trained on those with a label. Null and empty texts stay."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each line once in all documents; those of which nothing is left go. Null and empty texts stay."""
     return linededup.dedup_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """One document of each group whose texts are near to each other, as they are now or as they were before lines were taken
+    out. Null keys, and null, empty or wordless texts, stay."""
+    return simhash.keep_one(docs, originals=table(spark, sf_dir, "documents"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as its rate says. Rows without words come once."""
     return mixing.mix(docs, table(spark, sf_dir, "labels"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text: doc_id, n_tokens, ids, lossless. Null texts give nulls, empty ones no ids."""
     return bpe.encode(docs)
 
 
