@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 #: Names that operators use within.
-CLASH = ("h", "hi", "lo", "k", "id", "doc", "node", "root", "score", "toxic", "ids", "n_tokens", "p", "tokens", "rate", "copies", "keep", "n", "place", "shard", "__x")
+CLASH = ("h", "hi", "lo", "k", "id", "doc", "node", "root", "score", "toxic", "ids", "n_tokens", "p", "tokens", "rate", "copies", "keep", "n", "place", "shard", "__x", "row", "doc_", "f", "t", "hs", "fs", "gone", "rest", "places", "of", "x", "w", "u", "m", "copies_", "wanted", "key", "keys", "start", "__gone", "__doc", "__text", "__hs", "__keep", "__rest", "__of", "__t", "__places")
 VOCAB = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
 

@@ -16,9 +16,17 @@ def test_minimal_perfect_hash():
         keys = common.uniq(rng.integers(0, 1 << 63, n).astype(np.uint64))
         f = linededup.Mphf.from_bytes(linededup.Mphf.build(keys).to_bytes())
         assert sorted(f.index(keys).tolist()) == list(range(len(keys)))
-        s = linededup.Shard.build(keys, np.full(len(keys), 2), np.arange(len(keys)), np.zeros(len(keys), int))
-        assert (s.docs[s.probe(keys)] == np.arange(len(keys))).all() if len(keys) else True
-        assert (s.probe(rng.integers(0, 1 << 63, 5000).astype(np.uint64)) < 0).all()
+        prints = rng.integers(-(1 << 31), 1 << 31, len(keys))
+        s = linededup.Shard.build(keys, prints, np.full(len(keys), 2), np.arange(len(keys)), np.zeros(len(keys), int))
+        assert (s.docs[s.probe(keys, prints)] == np.arange(len(keys))).all() if len(keys) else True
+        assert (s.probe(rng.integers(0, 1 << 63, 5000).astype(np.uint64), np.zeros(5000, int)) < 0).all()
+
+
+def test_lines_that_share_the_first_hash():
+    h, f = np.array([5, 9, 5, 7, 5], np.uint64), np.array([1, 2, 3, 4, -8])
+    s = linededup.Shard.build(h, f, np.arange(5) + 2, np.arange(5) * 10, np.arange(5))
+    assert s.docs[s.probe(h, f)].tolist() == [0, 10, 20, 30, 40]
+    assert s.probe(h, f + 100).tolist() == [-1] * 5
 
 
 def lines_brute(rows, least=2):
