@@ -116,10 +116,16 @@ def asof_join(probes: DataFrame, targets: DataFrame, by: str, at: str, start: st
     return t.unionByName(p).withColumn("_last", last).where("_k = 1").select("_row.*", F.when(F.col("_by").isNotNull() & F.col("_t").isNotNull(), F.col("_last")).alias("target_id"))
 
 
+#: Lines of a bucket: an interval is sent to each bucket that it meets, a probe to its own.
+LINES = 64
+
+
 def innermost_join(probes: DataFrame, targets: DataFrame, by: str, at: str, start: str, end: str, probe_key: str, key: str) -> DataFrame:
-    """Each probe with the innermost target around it: the greatest start, then the least key; null if there is none."""
-    t = targets.select(F.col(by).alias("_by"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(key).alias("_key"))
-    hit = probes.join(t, (probes[by] == t["_by"]) & probes[at].between(t["_s"], t["_e"]), "left")
+    """Each probe with the innermost target around it: the greatest start, then the least key; null if there is none. The join is by
+    buckets of lines, so a busy file isn't multiplied out."""
+    spans = targets.where(F.col(start) <= F.col(end)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / LINES), F.floor(F.col(end) / LINES))))
+    t = spans.select(F.col(by).alias("_by"), "_b", F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(key).alias("_key"))
+    hit = probes.join(t, (probes[by] == t["_by"]) & (F.floor(probes[at] / LINES) == t["_b"]) & probes[at].between(t["_s"], t["_e"]), "left")
     return hit.groupBy(*[probes[n] for n in probes.columns]).agg(F.max_by("_key", F.struct("_s", -F.col("_key"))).alias("target_id"))
 
 

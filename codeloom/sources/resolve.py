@@ -41,10 +41,7 @@ def next_id(df: DataFrame) -> int:
 def call_edges(owners: DataFrame, calls: DataFrame, functions: DataFrame) -> DataFrame:
     """(caller_id, callee_id), each once: every function of a caller's key with every function of a callee's (module, name).
     owners: (key.., id) rows; calls without module or name resolve to nothing."""
-    f = functions.select(F.col("id").alias("callee_id"), F.col("module_name").alias("_m"), F.col("name").alias("_n"))
-    c = calls.where("coalesce(module_name, '') <> '' and coalesce(name, '') <> ''")
-    c = owners.join(c, "full_key").select(F.col("id").alias("caller_id"), "module_name", "name").distinct()
-    return c.join(f, (F.col("module_name") == F.col("_m")) & (F.col("name") == F.col("_n"))).select("caller_id", "callee_id").distinct()
+    return _by_name(owners.join(calls, "full_key").select(F.col("id").alias("caller_id"), "module_name", "name"), functions)
 
 
 def resolution_counts(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -62,6 +59,11 @@ def unambiguous(functions: DataFrame) -> DataFrame:
 
 def build(spark: SparkSession, root: str) -> Catalog:
     """All tables, from a folder of dumps. Ids follow natural keys, so they are the same on every run."""
+    return _built(spark, root)[0]
+
+
+def _built(spark: SparkSession, root: str) -> tuple[Catalog, DataFrame]:
+    """The tables, and (caller_id, module_name, name) of all calls, whether they resolve or not."""
     fn, nested = dumps.functions(spark, root), dumps.where_functions(spark, root)
     cl, im, ty, ins = dumps.classes(spark, root), dumps.imports(spark, root), dumps.types(spark, root), dumps.instances(spark, root)
     paths = dumps.files(spark, root, ".hs.json").groupBy("module").agg(F.min("path").alias("path"))
@@ -104,18 +106,19 @@ def build(spark: SparkSession, root: str) -> Catalog:
         "import": with_ids(in_module(im, "importer"), "importer", "line_number_start", "module_name"), "type": types, "constructor": ctor, "field": field, "class": with_ids(in_module(cl), "module_name", "class_name", "line_number_start"),
         "instance": inst, "instance_function": with_ids(members.select(F.col("instance").alias("instance_id"), F.col("function").alias("function_id")), "instance_id", "function_id"), "type_dependency": type_edges(types, ctor, field),
     }
-    return Catalog(spark, {k: v.select(*[F.col(f"`{c.name}`").cast(c.dataType) for c in SCHEMAS[k]]) for k, v in tables.items()})
+    made = own.join(calls, "full_key").select(F.col("id").alias("caller_id"), "module_name", "name")
+    return Catalog(spark, {k: v.select(*[F.col(f"`{c.name}`").cast(c.dataType) for c in SCHEMAS[k]]) for k, v in tables.items()}), made
 
 
-def type_edges(types: DataFrame, ctor: DataFrame, field: DataFrame) -> DataFrame:
+def type_edges(types: DataFrame, ctor: DataFrame, field: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(dependent_id, dependency_id), each once: types that fields refer to, by module (the owner's, where none is said) and name;
-    never to the owner's own name."""
+    never to the owner's own name. targets: the types that may be referred to, where they are others than ``types``."""
     t = types.select(F.col("id").alias("dependent_id"), F.col("module_name").alias("_om"), F.col("type_name").alias("_on"))
     c = ctor.select(F.col("id").alias("_c"), "type_id")
     refs = t.join(c, F.col("dependent_id") == F.col("type_id")).join(field, F.col("_c") == F.col("constructor_id"))
     refs = refs.select("dependent_id", "_om", "_on", F.explode(refs_column("field_type_structure", "loader")).alias("r")).where("r.name <> _on")
     refs = refs.select("dependent_id", F.coalesce(F.expr("nullif(r.module, '')"), "_om").alias("_m"), F.col("r.name").alias("_n")).distinct()
-    target = types.groupBy(F.col("module_name").alias("_m"), F.col("type_name").alias("_n")).agg(F.max("id").alias("dependency_id"))
+    target = (types if targets is None else targets).groupBy(F.col("module_name").alias("_m"), F.col("type_name").alias("_n")).agg(F.max("id").alias("dependency_id"))
     return refs.join(target, ["_m", "_n"]).select("dependent_id", "dependency_id").where("dependent_id <> dependency_id").distinct()
 
 
@@ -129,13 +132,14 @@ def ingest(spark: SparkSession, root: str, out: str, mode: str = "overwrite") ->
     return Catalog.load(spark, out)
 
 
-#: Columns that say what a row is, for the tables that stand on their own; the others hang on these.
-_NATURAL = {"module": ["name"]}
+#: Columns that hold another table's id.
+_REFERS = {"module_id": "module", "parent_function_id": "function", "function_id": "function", "where_function_id": "where_function", "type_id": "type", "constructor_id": "constructor", "instance_id": "instance", "caller_id": "function", "callee_id": "function", "dependent_id": "type", "dependency_id": "type"}
 
 
 def build_into(spark: SparkSession, root: str, out: str, old: Catalog) -> None:
-    """Modules that the tables lack come in whole; what they hold refers to functions and types by name, the old ones among them."""
-    new = build(spark, root)
+    """Modules that the tables lack come in whole; those that are there stay as they are. Calls and type references go by name, among the
+    new rows, from new to old ones, and from old ones to what was missing before."""
+    new, calls = _built(spark, root)
     known = old["module"].select(F.col("name").alias("_k"))
     fresh = new["module"].join(known, F.col("name") == F.col("_k"), "left_anti")
     shift = {k: next_id(old[k]) - 1 for k in SCHEMAS if "id" in SCHEMAS[k].names}
@@ -151,7 +155,29 @@ def build_into(spark: SparkSession, root: str, out: str, old: Catalog) -> None:
     kept["function_dependency"] = new["function_dependency"].join(f, F.col("caller_id") == F.col("_f"), "left_semi").join(f, F.col("callee_id") == F.col("_f"), "left_semi")
     t = kept["type"].select(F.col("id").alias("_t"))
     kept["type_dependency"] = new["type_dependency"].join(t, F.col("dependent_id") == F.col("_t"), "left_semi").join(t, F.col("dependency_id") == F.col("_t"), "left_semi")
-    refers = {"module_id": "module", "parent_function_id": "function", "function_id": "function", "where_function_id": "where_function", "type_id": "type", "constructor_id": "constructor", "instance_id": "instance", "caller_id": "function", "callee_id": "function", "dependent_id": "type", "dependency_id": "type"}
+    moved = {}
     for k in SCHEMAS:
-        moved = [(F.col(f"`{n}`") + (shift[k] if n == "id" else shift[refers[n]] if n in refers else 0)).cast("bigint").alias(n) if n == "id" or n in refers else F.col(f"`{n}`") for n in SCHEMAS[k].names]
-        kept[k].select(*moved).write.mode("append").parquet(f"{out}/{k}")
+        by = {n: k if n == "id" else _REFERS.get(n) for n in SCHEMAS[k].names}
+        moved[k] = kept[k].select(*[(F.col(f"`{n}`") + shift[t]).cast("bigint").alias(n) if t else F.col(f"`{n}`") for n, t in by.items()])
+    # across: the ids of both sides are final here
+    mine = calls.join(f, F.col("caller_id") == F.col("_f"), "left_semi").withColumn("caller_id", F.col("caller_id") + shift["function"])
+    theirs = old["function_called"].where("function_id is not null").select(F.col("function_id").alias("caller_id"), "module_name", "name")
+    across = _by_name(mine, old["function"]).union(_by_name(theirs, moved["function"]))
+    moved["function_dependency"] = moved["function_dependency"].union(across).distinct()
+    named = [_named(x["type"], m) for x, m in ((moved, moved["module"]), (old, old["module"]))]
+    across = type_edges(named[0], moved["constructor"], moved["field"], named[1]).union(type_edges(named[1], old["constructor"], old["field"], named[0]))
+    moved["type_dependency"] = moved["type_dependency"].union(across).distinct()
+    # all is computed before the first table that it was read from grows
+    for k, rows in [(k, _cut(x)) for k, x in moved.items()]:
+        rows.write.mode("append").parquet(f"{out}/{k}")
+
+
+def _by_name(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """(caller_id, callee_id) of calls (caller_id, module_name, name)."""
+    f = functions.select(F.col("id").alias("callee_id"), F.col("module_name").alias("_m"), F.col("name").alias("_n"))
+    c = calls.where("coalesce(module_name, '') <> '' and coalesce(name, '') <> ''").distinct()
+    return c.join(f, (F.col("module_name") == F.col("_m")) & (F.col("name") == F.col("_n"))).select("caller_id", "callee_id").distinct()
+
+
+def _named(types: DataFrame, module: DataFrame) -> DataFrame:
+    return types.join(module.select(F.col("id").alias("module_id"), F.col("name").alias("module_name")), "module_id")

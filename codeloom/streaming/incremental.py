@@ -10,7 +10,8 @@ from ..sources.export import upsert
 
 def class_updates(spark: SparkSession, root: str, out: str, checkpoint: str):
     """A stream of class dumps below ``root`` into the Parquet table ``out``, by (module_name, class_name), the last one holding.
-    Each batch is written beside the table and then put in its place, so a batch that is run again changes nothing."""
+    Each batch is written beside the table and then put in its place by two renames; the table that was there goes last, and is put back
+    if the work ended between the two. So no crash loses rows, and a batch that is run again changes nothing."""
     from pyspark.sql import functions as F
 
     kind = "array<struct<className:string,classDefinition:string,classLocation:string,line_number:array<int>>>"
@@ -23,9 +24,17 @@ def class_updates(spark: SparkSession, root: str, out: str, checkpoint: str):
         jvm = session.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path
         fs = path(out).getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
-        old = session.read.schema(batch.schema).parquet(out) if fs.exists(path(out)) else batch.limit(0)
+        here, new, last = path(out), path(f"{out}.new"), path(f"{out}.last")
+        if fs.exists(last):
+            if fs.exists(here):
+                fs.delete(last, True)
+            else:
+                fs.rename(last, here)
+        old = session.read.schema(batch.schema).parquet(out) if fs.exists(here) else batch.limit(0)
         upsert(old, batch, "module_name", "class_name").write.mode("overwrite").parquet(f"{out}.new")
-        fs.delete(path(out), True)
-        fs.rename(path(f"{out}.new"), path(out))
+        if fs.exists(here):
+            fs.rename(here, last)
+        fs.rename(new, here)
+        fs.delete(last, True)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

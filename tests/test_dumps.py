@@ -128,3 +128,6 @@ def test_stream(spark, tmp_path):
 
     assert put("A", "one") == [("A", "one")]
     assert put("B", "two") == [("A", "one"), ("B", "two")]
+    (tmp_path / "out").rename(tmp_path / "out.last")  # where a crash between the two renames leaves it
+    assert put("C", "three") == [("A", "one"), ("B", "two"), ("C", "three")]
+    assert not (tmp_path / "out.last").exists()
