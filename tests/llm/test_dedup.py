@@ -363,13 +363,12 @@ def test_segments_against_brute_force(spark):
     assert len(got) > 20 and got == segments_brute([d for d in docs if d[0] is not None and d[1]])
 
 
-@pytest.mark.parametrize("paired", [paragraphs.PAIRED, 2])
-def test_near_paragraphs_against_brute_force(spark, paired):
+def test_near_paragraphs_against_brute_force(spark):
     rng = random.Random(12)
     lines = []
     for _ in range(25):
         w = words_of(rng, 40)
-        lines += [" ".join(edited(rng, w, rng.randint(0, 6))) for _ in range(6)]
+        lines += [" ".join(edited(rng, w, rng.randint(0, 7))) for _ in range(6)]
     lines = list(dict.fromkeys(lines))  # equal ones are one content
     docs = frame(spark, list(enumerate(lines)))
     sets = [{tuple(x.split()[k : k + 3]) for k in range(38)} for x in lines]
@@ -377,12 +376,8 @@ def test_near_paragraphs_against_brute_force(spark, paired):
     bands, rows = paragraphs.tune()
     units = common.written(paragraphs.units(docs, bands, rows).where("kind = 0"), "t")
     of = {r["h"]: r["doc"] for r in units.collect()}
-    got = {tuple(sorted((of[r["a"]], of[r["b"]]))) for r in paragraphs.near_paragraphs(docs, units, "text", "doc_id", 0.5, paired).collect()}
-    assert len(want) > 30 and got <= want
-    groups = lambda pairs: {r["node"]: r["root"] for r in common.components(spark.createDataFrame(sorted(pairs), "a bigint, b bigint")).collect()}
-    if paired > 2:
-        assert len(got) >= 0.9 * len(want)
-    else:  # links may go through another member: the groups count, at the recall that the bands are tuned for
-        a, b = groups(got), groups(want)
-        assert sum(a.get(k) == v for k, v in b.items()) >= 0.9 * len(b)
+    got, led = ({tuple(sorted((of[r["a"]], of[r["b"]]))) for r in paragraphs.near_paragraphs(docs, units, "text", "doc_id", 0.5, paired).collect()} for paired in (paragraphs.PAIRED, 1))
+    assert len(want) > 30 and got <= want and len(got) >= 0.9 * len(want)
+    # through leaders: fewer links, but everyone that has one keeps one
+    assert led <= got and {x for p in led for x in p} == {x for p in got for x in p}
     assert VOCAB and prose(rng, 1)
