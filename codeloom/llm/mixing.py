@@ -9,6 +9,7 @@ each step is one aggregation over (tokens, posteriors), and a document's rate fo
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +18,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, sample_key, text_slices, texts_of, written
+from .common import BROADCAST_IDS, mix64, text_slices, texts_of, written
 from .words import words
 
 #: At most so many labelled rows of each domain are trained on, drawn by the hash of their doc_id.
-SAMPLE = 300
+SAMPLE = 600
 #: Target shares of the tokens; domains that aren't named share nothing.
 TARGETS = {"en/good": 0.40, "de/good": 0.18, "fr/good": 0.18, "es/good": 0.18, "en/poor": 0.02, "de/poor": 0.02, "fr/poor": 0.01, "es/poor": 0.01}
 _BUCKETS = 1 << 14
-#: The gradient ends here at the latest; TOLERANCE is of the weighted residual against the targets.
-STEPS, TOLERANCE = 60, 1e-6
+#: The descent ends when the weighted residual is TOLERANCE of the targets, or when so many steps (each replays those before it) have
+#: not brought it there: then the residual is logged.
+STEPS, TOLERANCE = 200, 1e-6
+_LOG = logging.getLogger(__name__)
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +59,7 @@ class Domains:
         return out, many
 
 
-def train(texts: list[str | None], y: np.ndarray, names: list[str], steps: int = 80, rate: float = 1.0) -> Domains:
+def train(texts: list[str | None], y: np.ndarray, names: list[str], steps: int = 300, rate: float = 1.0) -> Domains:
     """Full-batch Adam on the sampled rows."""
     rows, cols, vals = [], [], []
     for lo, hi in text_slices(texts):
@@ -69,34 +72,47 @@ def train(texts: list[str | None], y: np.ndarray, names: list[str], steps: int =
         vals.append(np.diff(np.append(first, len(key))) / np.maximum(n[d], 1))
     r, c, v = (np.concatenate(x) for x in (rows, cols, vals))
     k, n = len(names), len(texts)
-    size = int(c.max()) + 1 if len(c) else 1
-    w, b = np.zeros((max(size, _BUCKETS + 240), k)), np.zeros(k)
-    size = len(w)
-    hot = np.eye(k)[y]
+    used, c = np.unique(c, return_inverse=True)
+    # two orders of the entries: by text for the scores, by bucket for the gradient; each is a sum over runs
+    by_text, by_bucket = np.argsort(r, kind="stable"), np.argsort(c, kind="stable")
+    tc, tv, tr, bc, bv, br = (np.ascontiguousarray(x) for x in (c[by_text], v[by_text, None].astype(np.float32), r[by_text], c[by_bucket], v[by_bucket, None].astype(np.float32), r[by_bucket]))
+    starts = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+    t0, b0 = starts(tr), starts(bc)
+    some = tr[t0]
+    w, b = np.zeros((len(used), k), np.float32), np.zeros(k, np.float32)
+    hot = np.eye(k, dtype=np.float32)[y]
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
     for t in range(1, steps + 1):
-        s = np.stack([np.bincount(r, v * w[c, j], n) for j in range(k)], 1) + b
+        s = np.zeros((n, k), np.float32)
+        if len(t0):
+            s[some] = np.add.reduceat(w[tc] * tv, t0, axis=0)
+        s += b
         e = np.exp(s - s.max(1, keepdims=True))
         g = (e / e.sum(1, keepdims=True) - hot) / n
-        gw = np.stack([np.bincount(c, v * g[r, j], size) for j in range(k)], 1)
+        gw = np.add.reduceat(g[br] * bv, b0, axis=0) if len(b0) else w
         for x, gx, i in ((w, gw, 0), (b, g.sum(0), 2)):
             moments[i] = 0.9 * moments[i] + 0.1 * gx
             moments[i + 1] = 0.99 * moments[i + 1] + 0.01 * gx * gx
             x -= rate * (moments[i] / (1 - 0.9**t)) / (np.sqrt(moments[i + 1] / (1 - 0.99**t)) + 1e-8)
-    return Domains(names, w.astype(np.float32), b.astype(np.float32))
+    full = np.zeros((_BUCKETS + 240, k), np.float32)
+    full[used] = w
+    return Domains(names, full, b)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, text: str, key: str, sample: int) -> DataFrame:
-    """(k, t, domain): at most ``sample`` documents of each domain, the same ones on every run. Rows without a language,
-    key or quality of 0 or 1 are left out; of labels for the same key the greatest quality holds."""
+    """(k, t, domain): at most ``sample`` documents of each domain, those of the least hashes of their keys, hence the same ones on every run.
+    Rows without a language, key or quality of 0 or 1 are left out; of labels for the same key the greatest quality holds, of
+    documents the least text with its least language."""
     one = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("q")).where("k is not null and q in (0, 1)").groupBy("k").agg(F.max("q").alias("q"))
-    # candidates come by the least hashes of each quality: a bounded number whatever the size of the labels
-    most = 40 * sample
-    ids = one.where("q = 1").orderBy(sample_key("k"), "k").limit(most).union(one.where("q = 0").orderBy(sample_key("k"), "k").limit(most))
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col("lang").cast("string").alias("lang"), F.col(text).cast("string").alias("t")).where("lang is not null").join(F.broadcast(ids), "k")
-    rows = rows.withColumn("domain", F.concat("lang", F.when(F.col("q") == 1, "/good").otherwise("/poor")))
-    # by groups of a bounded table; each document once
-    return rows.dropDuplicates(["k"]).withColumn("r", F.expr("row_number() over (partition by domain order by xxhash64(k), k)")).where(F.col("r") <= sample).select("k", "t", "domain")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col("lang").cast("string").alias("lang"), F.col(text).cast("string").alias("t")).where("lang is not null")
+    # the sample is drawn from keys and languages alone; texts are read for what it holds
+    drawn = rows.select("k", "lang").join(one, "k").withColumn("domain", F.concat("lang", F.when(F.col("q") == 1, "/good").otherwise("/poor"))).groupBy("k", "domain").agg(F.first("q").alias("q"))
+    drawn = drawn.withColumn("r", F.expr("row_number() over (partition by domain order by xxhash64(k), k)")).where(F.col("r") <= sample)
+    drawn = written(drawn.select("k").distinct().join(one, "k"), "sample")
+    if drawn.count() <= BROADCAST_IDS:  # sample times domains
+        drawn = F.broadcast(drawn)
+    least = rows.join(drawn, "k").groupBy("k", "q").agg(F.min(F.struct("t", "lang")).alias("at")).select("k", F.col("at.t").alias("t"), F.concat("at.lang", F.when(F.col("q") == 1, "/good").otherwise("/poor")).alias("domain"))
+    return least.withColumn("r", F.expr("row_number() over (partition by domain order by xxhash64(k), k)")).where(F.col("r") <= sample).select("k", "t", "domain")
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Domains:
@@ -118,16 +134,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 
 def memberships(docs: DataFrame, model: Domains, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, tokens, p) for each row; tokens: chunks between white space, 0 for null or empty text."""
+    """(doc_id, tokens, p, u) for each row; tokens: chunks between white space, 0 for null or empty text; u: hash of key and text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, n = held.value.posteriors(b.column(1).to_pylist())
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), rows], ["doc_id", "tokens", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), rows, b.column(2)], ["doc_id", "tokens", "p", "u"])
 
-    return texts_of(docs, F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id bigint, tokens bigint, p array<float>")
+    body, k = F.col(text).cast("string"), F.col(key).cast("long")
+    return texts_of(docs, k, body, F.xxhash64(k, body)).mapInArrow(run, "doc_id bigint, tokens bigint, p array<float>, u bigint")
 
 
 def rates(p: np.ndarray, steps: list[np.ndarray], ahead: bool = False) -> np.ndarray:
@@ -173,24 +190,27 @@ def solve(table: DataFrame, names: list[str], targets: dict[str, float] | None =
     scale = np.maximum(have, 1e-12)
     steps: list[np.ndarray] = []
     total = have
-    while len(steps) < STEPS:
+    while True:
         g = np.where(have > 0, (total - want) / scale, 0.0)
-        if float((g * g * scale).sum()) <= TOLERANCE * float((want * want / scale).sum()):
-            break
+        residual, whole = float((g * g * scale).sum()), float((want * want / scale).sum())
+        if residual <= TOLERANCE * whole:
+            return steps
+        if len(steps) >= STEPS:
+            _LOG.warning("mixing: a residual of %.3g against targets of %.3g after %d steps: no rates meet them more closely, or they converge slowly", residual, whole, len(steps))
+            return steps
         steps.append(g)
         total = _totals(table, k, steps)
-    return steps
 
 
-def copies(key: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """Whole numbers of copies with the rate as their mean: the key's hash decides on the fraction."""
-    u = (mix64(key.view(np.uint64) ^ np.uint64(0x1F83D9ABFB41BD6B)) >> np.uint64(11)) / float(1 << 53)
-    return (np.floor(rate) + (u < rate - np.floor(rate))).astype(np.int32)
+def copies(u: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Whole numbers of copies with the rate as their mean: a row's hash decides on the fraction."""
+    x = (mix64(u.view(np.uint64) ^ np.uint64(0x1F83D9ABFB41BD6B)) >> np.uint64(11)) / float(1 << 53)
+    return (np.floor(rate) + (x < rate - np.floor(rate))).astype(np.int32)
 
 
-def _decided(key: pa.Array, p: np.ndarray, tokens: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _decided(u: np.ndarray, p: np.ndarray, tokens: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     rate = np.where(tokens > 0, rates(p.astype(np.float64), steps), 1.0)
-    return rate, copies(pc.fill_null(key, -1).to_numpy(), rate)
+    return rate, copies(u, rate)
 
 
 RATED = "doc_id bigint, tokens bigint, domain string, rate double, copies int"
@@ -199,8 +219,8 @@ RATED = "doc_id bigint, tokens bigint, domain string, rate double, copies int"
 def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = TARGETS, text: str = "text", key: str = "doc_id", budget: float = 1.0) -> DataFrame:
     """(doc_id, tokens, domain, rate, copies) for each row; domain is the likeliest one.
 
-    Null and empty texts have no tokens, rate 1 and one copy. Null keys are rounded alike, as are rows that repeat a
-    key. An empty table gives no rows. Columns beyond the key, text and lang aren't read.
+    Null and empty texts have no tokens, rate 1 and one copy. Rows with the same key (or none) and the same text are rounded
+    alike. An empty table gives no rows. Columns beyond the key, text and lang aren't read.
     """
     model = fit(docs, labels, text, key)
     table = written(memberships(docs, model, text, key), "memberships")
@@ -209,7 +229,7 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = b.column(2).flatten().to_numpy().reshape(-1, len(names))
-            rate, n = _decided(b.column(0), p, b.column(1).to_numpy(), steps)
+            rate, n = _decided(b.column(3).to_numpy(), p, b.column(1).to_numpy(), steps)
             domain = pa.array(names).take(pa.array(p.argmax(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), domain, pa.array(rate), pa.array(n)], ["doc_id", "tokens", "domain", "rate", "copies"])
 
@@ -217,21 +237,26 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = TARGETS, text: str = "text", key: str = "doc_id", budget: float = 1.0) -> DataFrame:
-    """``docs`` with each row as often as its rate says (not at all, once, or more), columns as they were.
+    """``docs`` with each row as often as its rate says (not at all, once, or more), columns as they were; rows as in ``document_rates``.
 
-    The posteriors are computed again where the rows are copied: no text is shuffled for them.
+    The rows are written with their posteriors, so that a text is scored once, and never shuffled.
     """
     model = fit(docs, labels, text, key)
-    table = written(memberships(docs, model, text, key), "memberships")
-    steps = solve(table, model.names, targets, budget)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at, of = docs.columns.index(text), docs.columns.index(key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p, tokens = held.value.posteriors(b.column(at).to_pylist())
-            _, n = _decided(b.column(of).cast(pa.int64()), p, tokens, steps)
-            for lo in range(0, len(n), 2000):
-                yield b.take(pa.array(np.repeat(np.arange(lo, min(lo + 2000, len(n))), n[lo : lo + 2000])))
+    def scored(texts: pa.Array) -> pa.Array:
+        p, n = held.value.posteriors(texts.to_pylist())
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
+        return pa.StructArray.from_arrays([pa.array(n), rows], ["tokens", "p"])
+
+    k, body = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    table = texts_of(docs).select(whole, F.xxhash64(k, body).alias("u"), F.arrow_udf(scored, "tokens bigint, p array<float>")(body).alias("m"))
+    table = written(table, "memberships").select("row", "u", "m.tokens", "m.p")
+    steps, width = solve(table, model.names, targets, budget), len(model.names)
+
+    def counted(u: pa.Array, tokens: pa.Array, p: pa.Array) -> pa.Array:
+        return pa.array(_decided(u.to_numpy(), p.flatten().to_numpy().reshape(-1, width), tokens.to_numpy(), steps)[1])
 
-    return texts_of(docs).mapInArrow(run, docs.schema)
+    out = table.select("row", F.arrow_udf(counted, "int")("u", "tokens", "p").alias("copies")).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"row.`{c}`") for c in docs.columns])
