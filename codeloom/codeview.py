@@ -14,7 +14,7 @@ _SQL = {
         p_type AS type_enum, m.id AS module_id FROM part JOIN module m ON m.name = p_brand LEFT JOIN documents d ON d.doc_id = p_partkey""",
     "function_dependency": """SELECT DISTINCT a.l_partkey AS caller_id, b.l_partkey AS callee_id FROM lineitem a JOIN lineitem b
         ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1""",
-    "where_function": """SELECT CAST(row_number() OVER (ORDER BY conv_id, turn) AS BIGINT) AS id, role AS name, text AS raw_string, conv_id AS parent_function_id FROM conversations""",
+    "where_function": """SELECT conv_id * 100000 + turn AS id, role AS name, text AS raw_string, conv_id AS parent_function_id FROM conversations""",
     "type": """SELECT s_suppkey AS id, s_name AS type_name, 'data ' || s_name AS raw_code, 'src/' || n_name || '.hs' AS src_loc,
         CASE WHEN s_suppkey % 3 = 0 THEN 'newtype' ELSE 'data' END AS type_of_type, CAST(s_suppkey % 40 AS INT) AS line_number_start, CAST(s_suppkey % 40 + 5 + s_suppkey % 7 AS INT) AS line_number_end,
         CAST(s_nationkey + 1 AS BIGINT) AS module_id FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
@@ -28,11 +28,13 @@ _SQL = {
     "import": """SELECT c_custkey AS id, c_mktsegment || '.' || n_name AS module_name, CASE WHEN c_custkey % 5 = 0 THEN n_name END AS as_module_name,
         CASE WHEN c_custkey % 3 = 0 THEN 'Qualified' ELSE 'NotQualified' END AS qualified_style, c_custkey % 4 = 0 AS is_hiding, 'src/' || n_name || '.hs' AS src_loc,
         CAST(c_custkey % 50 AS INT) AS line_number_start, CAST(c_custkey % 50 + c_custkey % 3 AS INT) AS line_number_end, CAST(c_nationkey + 1 AS BIGINT) AS module_id FROM customer JOIN nation ON n_nationkey = c_nationkey""",
-    "function_called": """SELECT CAST(row_number() OVER (ORDER BY l_partkey, l_suppkey, l_returnflag) AS BIGINT) AS id, l_partkey AS function_id, m.name AS module_name,
+    "function_called": """SELECT (l_partkey * 10000000 + l_suppkey) * 4 + CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS id, l_partkey AS function_id, m.name AS module_name,
         CASE WHEN l_returnflag = 'N' THEN p_name ELSE s_name END AS name,
         CASE l_returnflag WHEN 'R' THEN 'TyConApp' WHEN 'A' THEN 'FunTy' ELSE 'HsVar' END AS _type, CAST(NULL AS VARCHAR) AS function_signature
-        FROM (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem WHERE l_quantity >= 45) l
+        FROM (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem) l
         JOIN supplier ON s_suppkey = l_suppkey JOIN module m ON m.id = (s_nationkey + l_partkey % 2) % 25 + 1 JOIN part ON p_partkey = l_suppkey""",
+    "instance_function": """SELECT i.id * 1000000000 + f.id AS id, i.id AS instance_id, f.id AS function_id FROM instance i JOIN function f ON f.module_id = i.module_id
+        AND f.line_number_start BETWEEN i.line_number_start AND i.line_number_end""",
 }
 #: In the order in which one may use another.
 ORDER = list(_SQL)
@@ -40,7 +42,9 @@ ORDER = list(_SQL)
 
 def ctes(*names: str) -> str:
     """WITH clause that defines these tables, and those they use, for the oracle."""
-    need = set(names) | ({"module"} if {"function", "function_called"} & set(names) else set())
+    need = set(names)
+    need |= {"function", "instance"} if "instance_function" in need else set()
+    need |= {"module"} if {"function", "function_called"} & need else set()
     return "WITH RECURSIVE " + ", ".join(f"{n if n not in ('import', 'type', 'class') else _quoted(n)} AS ({_SQL[n]})" for n in ORDER if n in need)
 
 
@@ -56,8 +60,9 @@ def code_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     for n in ("part", "lineitem", "supplier", "nation", "region", "customer", "documents", "conversations"):
         read(n).createOrReplaceTempView(n)
     for n in ORDER:
-        tables[n] = spark.sql(_SQL[n].replace("VARCHAR", "STRING").replace("module m ", "_m AS m ").replace("''\"", "\\'\""))
-        if n == "module":
-            tables[n].createOrReplaceTempView("_m")
+        text = _SQL[n].replace("VARCHAR", "STRING").replace("module m ", "_m AS m ").replace("''\"", "\\'\"")
+        tables[n] = spark.sql(text.replace("FROM instance i JOIN function f", "FROM _instance i JOIN _function f"))
+        if n in ("module", "function", "instance"):
+            tables[n].createOrReplaceTempView("_m" if n == "module" else f"_{n}")
     tables["import"] = tables["import"].withColumn("hiding_specs", F.lit(None).cast("array<string>"))
     return Catalog(spark, tables)

@@ -67,7 +67,7 @@ for _name, (_q, _sql, _cols, _tables) in _DSL.items():
 _add("all_modules", lambda c: lookups.all_modules(c).select("id", "name", "path"), "SELECT id, name, path FROM module", "module")
 _add("module_by_name", lambda c: lookups.module_by_name(c, "Brand#5").select("id", "name"), "SELECT id, name FROM module WHERE name = 'Brand#5'", "module")
 _add("functions_by_module", lambda c: lookups.functions_by_module(c, 3).select("id", "name"), "SELECT id, name FROM function WHERE module_id = 3", "function")
-_add("function_by_name", lambda c: lookups.function_by_name(c, "red widget", 4).select("id", "name"), "SELECT id, name FROM function WHERE name = 'red widget' AND module_id = 4", "function")
+_add("function_by_name", lambda c: lookups.function_by_name(c, "blue plate", 25).select("id", "name"), "SELECT id, name FROM function WHERE name = 'blue plate' AND module_id = 25", "function")
 for _k in ("type", "class", "import", "instance"):
     _add(f"children_{_k}", lambda c, k=_k: lookups.children_of_module(c, k, "Brand#1").select("id"), f"SELECT id FROM \"{_k}\" WHERE module_id IN (SELECT id FROM module WHERE name = 'Brand#1')", "module", _k)
 _PAIRS = "array_to_string(list_transform(list_sort(list({{'id': {i}, 'name': {n}}})), lambda x: CAST(x.id AS VARCHAR) || ':' || x.name), ',')"
@@ -85,13 +85,13 @@ _add("content_search", lambda c: lookups.search_content(c, "éTION").select("id"
 _add("regex_search", lambda c: lookups.types_by_name(c, "Supplier#000000007", r"NATION_\d+").select("id", "src_loc"), "SELECT id, src_loc FROM \"type\" WHERE type_name = 'Supplier#000000007' AND regexp_matches(src_loc, 'NATION_[0-9]+')", "type")
 _add("find_module", lambda c: lookups.find_module(c, "brand#2%").select("id", "name"), "SELECT id, name FROM module WHERE name ILIKE 'brand#2%'", "module")
 _add("instances_per_module", lambda c: lookups.instances_per_module(c, "Brand#10").select("id", "in_module"), "SELECT i.id, m.name AS in_module FROM instance i JOIN module m ON m.id = module_id WHERE m.name = 'Brand#10'", "module", "instance")
-_add("type_in_module", lambda c: lookups.type_in_module(c, "Supplier#000000001", "Brand#4").select("id", "in_module"), "SELECT t.id, m.name AS in_module FROM \"type\" t JOIN module m ON m.id = module_id WHERE m.name = 'Brand#4' AND type_name = 'Supplier#000000001'", "module", "type")
+_add("type_in_module", lambda c: lookups.type_in_module(c, "Supplier#000000002", "Brand#24").select("id", "in_module"), "SELECT t.id, m.name AS in_module FROM \"type\" t JOIN module m ON m.id = module_id WHERE m.name = 'Brand#24' AND type_name = 'Supplier#000000002'", "module", "type")
 _add("function_in_module", lambda c: lookups.function_in_module(c, "red widget", "BRAND#1%").select("id", "in_module"), "SELECT f.id, m.name AS in_module FROM function f JOIN module m ON m.id = module_id WHERE m.name ILIKE 'BRAND#1%' AND f.name = 'red widget'", "module", "function")
 _add("class_in_module", lambda c: lookups.class_in_module(c, "AFRICA", "Brand#1").select("id", "in_module"), "SELECT c.id, m.name AS in_module FROM \"class\" c JOIN module m ON m.id = module_id WHERE m.name IN ('Brand#1', 'Brand#1.hs') AND class_name = 'AFRICA'", "module", "class")
 _add("function_at", lambda c: lookups.function_at(c, "brand#12.hs", 20).select("id", "line_number_start"), "SELECT id, line_number_start FROM function WHERE contains(lower(src_loc), 'brand#12.hs') AND line_number_start <= 20 ORDER BY line_number_start DESC, id LIMIT 1", "function")
 for _k, _loc in (("type", "src_loc"), ("import", "src_loc"), ("class", "src_location")):
-    _part = "asia.hs" if _k == "class" else "nation_3.hs"
-    _add(f"{_k}_at", lambda c, k=_k, p=_part: lookups.element_at(c, k, p, 21).select("id", "line_number_start"), f"SELECT id, line_number_start FROM \"{_k}\" WHERE contains(lower({_loc}), '{_part}') AND line_number_start <= 21 AND line_number_end >= 21 ORDER BY line_number_start DESC, id LIMIT 1", _k)
+    _part, _line = "asia.hs" if _k == "class" else "nation_3.hs", 31 if _k == "type" else 21
+    _add(f"{_k}_at", lambda c, k=_k, p=_part, n=_line: lookups.element_at(c, k, p, n).select("id", "line_number_start"), f"SELECT id, line_number_start FROM \"{_k}\" WHERE contains(lower({_loc}), '{_part}') AND line_number_start <= {_line} AND line_number_end >= {_line} ORDER BY line_number_start DESC, id LIMIT 1", _k)
 
 
 def _asof(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +169,11 @@ _LINES = "list_distinct(string_split(raw_string, chr(10)))"
 _PAIRS_SQL = f""", s AS (SELECT id, {_LINES} AS l FROM function WHERE raw_string <> ''), e AS (SELECT id, len(l) AS n, unnest(l) AS x FROM s),
 pairs AS (SELECT a.id AS a, b.id AS b, round(count(*) / (a.n + b.n - count(*)), 6) AS similarity FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.7)"""
 _add("similar_pairs", textsim.similar_pairs, f"{_PAIRS_SQL} SELECT a, b, similarity FROM pairs", "function")
-_add("group_similar", textsim.group_similar, None)
+_add("group_similar", textsim.group_similar, f"""{_PAIRS_SQL}, nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS k, coalesce((SELECT list(a) FROM pairs WHERE b = id), []) AS before FROM (SELECT a AS id FROM pairs UNION SELECT b FROM pairs)),
+steps(k, seeds) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT n.k, CASE WHEN list_has_any(s.seeds, n.before) THEN s.seeds ELSE list_append(s.seeds, n.id) END FROM steps s JOIN nodes n ON n.k = s.k + 1),
+seeds AS (SELECT unnest(seeds) AS seed FROM (SELECT seeds FROM steps ORDER BY k DESC LIMIT 1)),
+members AS (SELECT b AS id, min(a) AS group_id FROM pairs JOIN seeds ON seed = a WHERE b NOT IN (SELECT seed FROM seeds) GROUP BY b)
+SELECT group_id, m.id, f.name FROM (SELECT group_id, id FROM members UNION SELECT group_id, group_id FROM members) m JOIN function f ON f.id = m.id""", "function")
 _WORDS = " + ".join(f"(length(raw_string) - length(replace(raw_string, '{k}', ''))) // {len(k)}" for k in ("if", "case", "of", "where", "let", "do", "->", "| "))
 _add("complexity", textsim.complex_functions, f"""SELECT * FROM (SELECT f.id, f.name, CAST(1 + {_WORDS} + coalesce(c.n, 0) + coalesce(w.n, 0) AS BIGINT) AS complexity, CAST(coalesce(c.n, 0) AS BIGINT) AS n_calls, CAST(coalesce(w.n, 0) AS BIGINT) AS n_where FROM function f
 LEFT JOIN (SELECT caller_id AS k, count(*) AS n FROM function_dependency GROUP BY 1) c ON c.k = f.id LEFT JOIN (SELECT parent_function_id AS k, count(*) AS n FROM where_function GROUP BY 1) w ON w.k = f.id WHERE raw_string IS NOT NULL) WHERE complexity >= 10""", "function", "function_dependency", "where_function")
@@ -219,17 +223,28 @@ def _words(c) -> DataFrame:
 
 
 _add("qualified_prefix_removal", _words, "SELECT id, list_last(string_split(module_name, '.')) || ' ' || list_last(string_split(src_loc, '.')) AS short FROM \"import\"", "import")
-_add("graph_nodes", lambda c: export.property_graph(_full(c))[0].groupBy("label").agg(F.count("*").alias("n")), """SELECT 'Module' AS label, (SELECT count(*) FROM (SELECT name FROM module UNION SELECT module_name FROM "import")) AS n UNION ALL
-SELECT 'Function', (SELECT count(*) FROM (SELECT module_name || ':' || name FROM function UNION SELECT module_name || ':' || name FROM function_called)) UNION ALL
-SELECT 'WhereFunction', (SELECT count(*) FROM (SELECT DISTINCT f.module_name, f.name, w.name FROM where_function w JOIN function f ON f.id = parent_function_id)) UNION ALL
-SELECT 'Type', (SELECT count(*) FROM "type") UNION ALL SELECT 'Constructor', (SELECT count(*) FROM constructor) UNION ALL SELECT 'Field', (SELECT count(*) FROM field) UNION ALL
-SELECT 'Class', (SELECT count(*) FROM "class") UNION ALL SELECT 'Instance', (SELECT count(*) FROM instance) UNION ALL
-SELECT 'ImportRecord', (SELECT count(*) FROM (SELECT DISTINCT module_id, line_number_start, module_name, coalesce(as_module_name, '') FROM "import"))""", "module", "function", "where_function", "type", "constructor", "field", "class", "instance", "import", "function_called")
-_add("graph_edges", lambda c: export.property_graph(_full(c))[1].groupBy("type").agg(F.count("*").alias("n")).where(F.col("type").isin("CALLS", "HAS_TYPE", "HAS_FIELD", "DEFINES_WHERE", "HAS_FUNCTION")), """SELECT 'CALLS' AS type, (SELECT count(*) FROM (SELECT DISTINCT o.module_name, o.name, c.module_name, c.name FROM function_called c JOIN function o ON o.id = c.function_id)) AS n UNION ALL
-SELECT 'HAS_TYPE', (SELECT count(*) FROM "type") UNION ALL SELECT 'HAS_FIELD', (SELECT count(*) FROM field) UNION ALL
-SELECT 'DEFINES_WHERE', (SELECT count(*) FROM (SELECT DISTINCT f.module_name, f.name, w.name FROM where_function w JOIN function f ON f.id = parent_function_id)) UNION ALL
-SELECT 'HAS_FUNCTION', (SELECT count(*) FROM (SELECT DISTINCT module_name, name FROM function))""", "module", "function", "where_function", "type", "constructor", "field", "function_called")
-_add("light_graph", lambda c: export.light_graph(_full(c))[1].groupBy("type").agg(F.count("*").alias("n")).where("type = 'calls'"), "SELECT 'calls' AS type, (SELECT count(*) FROM (SELECT DISTINCT o.module_name, o.name, c.module_name, c.name FROM function_called c JOIN function o ON o.id = c.function_id)) AS n", "function", "function_called")
+_GRAPH = """, fn AS (SELECT f.id, m.name AS module, m.name || ':' || f.name AS nid FROM function f JOIN module m ON m.id = f.module_id),
+ty AS (SELECT t.id, m.name AS module, m.name || ':' || type_name AS nid FROM "type" t JOIN module m ON m.id = t.module_id),
+cl AS (SELECT m.name AS module, m.name || ':' || class_name AS nid FROM "class" c JOIN module m ON m.id = c.module_id),
+ins AS (SELECT i.id, m.name AS module, m.name || ':' || instance_definition AS nid FROM instance i JOIN module m ON m.id = i.module_id),
+im AS (SELECT m.name AS module, i.module_name AS target, md5(m.name || ':' || CAST(line_number_start AS VARCHAR) || ':' || i.module_name || '::' || coalesce(as_module_name, '')) AS nid FROM "import" i JOIN module m ON m.id = i.module_id),
+k AS (SELECT c.id, ty.nid AS tid, ty.nid || '::' || c.name AS nid FROM constructor c JOIN ty ON ty.id = c.type_id),
+fd AS (SELECT k.nid AS kid, k.nid || '.' || field_name AS nid, 'M:' || field_type_raw AS ref FROM field f JOIN k ON k.id = f.constructor_id),
+wh AS (SELECT fn.nid AS fid, fn.nid || '.' || w.name AS nid FROM where_function w JOIN fn ON fn.id = w.parent_function_id),
+made AS (SELECT fn.nid AS fid, c.module_name || ':' || c.name AS nid FROM function_called c JOIN fn ON fn.id = c.function_id),
+members AS (SELECT ins.nid AS iid, fn.nid AS fid FROM instance_function x JOIN ins ON ins.id = x.instance_id JOIN fn ON fn.id = x.function_id)"""
+_ALL = ("module", "function", "where_function", "type", "constructor", "field", "class", "instance", "import", "function_called", "instance_function")
+_add("graph_nodes", lambda c: export.property_graph(_full(c))[0].select("id", "label"), _GRAPH + """ SELECT name AS id, 'Module' AS label FROM module UNION SELECT target, 'Module' FROM im UNION SELECT nid, 'Function' FROM fn
+UNION SELECT module_name || ':' || name, 'Function' FROM function_called UNION SELECT nid, 'WhereFunction' FROM wh UNION SELECT nid, 'Type' FROM ty UNION SELECT nid, 'Constructor' FROM k UNION SELECT nid, 'Field' FROM fd
+UNION SELECT nid, 'Class' FROM cl UNION SELECT nid, 'Instance' FROM ins UNION SELECT nid, 'ImportRecord' FROM im""", *_ALL)
+_add("graph_edges", lambda c: export.property_graph(_full(c))[1].select("src", "dst", "type"), _GRAPH + """ SELECT module AS src, nid AS dst, 'HAS_FUNCTION' AS type FROM fn UNION SELECT module, nid, 'HAS_TYPE' FROM ty UNION SELECT module, nid, 'HAS_CLASS' FROM cl
+UNION SELECT module, nid, 'HAS_INSTANCE' FROM ins UNION SELECT module, nid, 'DECLARES_IMPORT' FROM im UNION SELECT nid, module, 'DEFINED_IN' FROM fn UNION SELECT nid, module, 'DEFINED_IN' FROM ty
+UNION SELECT nid, module, 'DEFINED_IN' FROM cl UNION SELECT nid, module, 'DEFINED_IN' FROM ins UNION SELECT tid, nid, 'HAS_CONSTRUCTOR' FROM k UNION SELECT kid, nid, 'HAS_FIELD' FROM fd
+UNION SELECT nid, ref, 'USES_TYPE' FROM fd UNION SELECT nid, ref, 'HAS_ATOMIC_TYPE' FROM fd UNION SELECT nid, target, 'IMPORTS_MODULE' FROM im UNION SELECT fid, nid, 'CALLS' FROM made
+UNION SELECT fid, nid, 'DEFINES_WHERE' FROM wh UNION SELECT iid, fid, 'IMPLEMENTS' FROM members""", *_ALL)
+_DASH = "regexp_replace({0}, '^([^:]*):', '\\1--') AS {0}"
+_add("light_graph", lambda c: export.light_graph(_full(c))[1].select("src", "dst", "type"), f"""{_GRAPH}, light AS (SELECT tid AS src, nid AS dst, 'HAS_CONSTRUCTOR' AS type FROM k UNION SELECT kid, nid, 'HAS_FIELD' FROM fd UNION SELECT nid, ref, 'USES_TYPE' FROM fd UNION SELECT fid, nid, 'calls' FROM made)
+SELECT {_DASH.format('src')}, {_DASH.format('dst')}, type FROM light""", *_ALL)
 
 
 def _full(c):
@@ -249,12 +264,18 @@ _COOKBOOK = {
     "sql_modules_sorted": ("SELECT id, name FROM module WHERE path LIKE 'src/%' ORDER BY name", ("module",)),
     "sql_functions_of_module": ("SELECT f.id, f.name, m.name AS module FROM function f JOIN module m ON f.module_id = m.id WHERE m.name = 'Brand#8' ORDER BY f.line_number_start, f.id", ("module", "function")),
     "sql_nested_of_one": ("SELECT w.id, w.name FROM where_function w WHERE w.parent_function_id = (SELECT max(f.id) FROM function f WHERE f.name = 'red widget' AND f.id < 50)", ("function", "where_function")),
-    "sql_callers_of": ("SELECT a.id AS caller_id, ma.name AS caller_module FROM function_dependency d JOIN function a ON a.id = d.caller_id JOIN function b ON b.id = d.callee_id JOIN module ma ON ma.id = a.module_id JOIN module mb ON mb.id = b.module_id WHERE b.name = 'red widget' AND mb.name = 'Brand#9'", ("module", "function", "function_dependency")),
+    "sql_callers_of": ("SELECT a.id AS caller_id, ma.name AS caller_module FROM function_dependency d JOIN function a ON a.id = d.caller_id JOIN function b ON b.id = d.callee_id JOIN module ma ON ma.id = a.module_id JOIN module mb ON mb.id = b.module_id WHERE b.name = 'hot rod' AND mb.name = 'Brand#16'", ("module", "function", "function_dependency")),
     "sql_callees_of": ("SELECT DISTINCT b.id AS callee_id, b.name FROM function_dependency d JOIN function a ON a.id = d.caller_id JOIN function b ON b.id = d.callee_id WHERE a.id = 11", ("function", "function_dependency")),
     "sql_type_fields": ('SELECT t.type_name, k.name AS constructor, f.field_name, f.field_type_raw FROM "type" t JOIN constructor k ON k.type_id = t.id JOIN field f ON f.constructor_id = k.id WHERE t.module_id = 6', ("type", "constructor", "field")),
     "sql_imports_of": ('SELECT i.id, i.module_name, i.as_module_name FROM "import" i WHERE i.module_id = (SELECT m.id FROM module m WHERE m.name = \'Brand#14\')', ("module", "import")),
     "sql_text_pattern": ("SELECT f.id, f.name FROM function f WHERE f.raw_string LIKE '%the thing%'", ("function",)),
     "sql_classes_with_modules": ('SELECT c.class_name, m.name AS module FROM "class" c JOIN module m ON m.id = c.module_id', ("module", "class")),
+    "sql_most_called": ("SELECT f.id, min(f.name) AS name, min(m.name) AS module, count(*) AS n_callers FROM function_dependency d JOIN function f ON d.callee_id = f.id JOIN module m ON m.id = f.module_id GROUP BY f.id ORDER BY n_callers DESC, f.id LIMIT 10", ("module", "function", "function_dependency")),
+    "sql_cross_modules": ("SELECT ma.name AS from_module, mb.name AS to_module, count(*) AS n FROM function_dependency d JOIN function a ON d.caller_id = a.id JOIN module ma ON ma.id = a.module_id JOIN function b ON d.callee_id = b.id JOIN module mb ON mb.id = b.module_id WHERE ma.id <> mb.id GROUP BY ma.name, mb.name", ("module", "function", "function_dependency")),
+    "sql_longest": ("SELECT f.id, f.name, m.name AS module, f.line_number_end - f.line_number_start AS n_lines FROM module m JOIN function f ON m.id = f.module_id WHERE f.line_number_end > 0 AND f.line_number_start > 0 ORDER BY n_lines DESC, f.id LIMIT 20", ("module", "function")),
+    "sql_most_calling": ("SELECT f.id, min(f.name) AS name, min(m.name) AS module, count(*) AS n_callees FROM function_dependency d JOIN function f ON d.caller_id = f.id JOIN module m ON m.id = f.module_id GROUP BY f.id ORDER BY n_callees DESC, f.id LIMIT 20", ("module", "function", "function_dependency")),
+    "sql_instances_functions": ("SELECT m.name AS module, i.instance_signature, f.id AS function_id, f.name AS function FROM instance_function x JOIN function f ON x.function_id = f.id JOIN instance i ON x.instance_id = i.id JOIN module m ON m.id = i.module_id", ("module", "function", "instance", "instance_function")),
+    "sql_statistics": ('SELECT \'modules\' AS what, count(*) AS n FROM module UNION ALL SELECT \'types\', count(*) FROM "type" UNION ALL SELECT \'functions\', count(*) FROM function UNION ALL SELECT \'nested\', count(*) FROM where_function UNION ALL SELECT \'calls\', count(*) FROM function_dependency UNION ALL SELECT \'instances\', count(*) FROM instance UNION ALL SELECT \'classes\', count(*) FROM "class"', ("module", "function", "where_function", "type", "class", "instance", "function_dependency")),
     "sql_module_imports_left": ('SELECT m.name, count(i.id) AS n_imports FROM module m LEFT JOIN "import" i ON i.module_id = m.id GROUP BY m.id, m.name HAVING count(i.id) >= 1', ("module", "import")),
 }
 for _name, (_text, _tables) in _COOKBOOK.items():
