@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, sample_key, written
+from .common import components, sample_key, trim, written
 
 THRESHOLD = 0.9
 #: Entries of a neighbour list to begin with; hyperplane tables of a round; vectors of a group and of a block.
@@ -59,6 +59,7 @@ def _stack(column) -> np.ndarray:
 
 def _best(ids: np.ndarray, m: np.ndarray, k: int, floor: np.ndarray | None = None) -> pa.Table:
     """The k best others of each, as (u, v, s); floor: similarity that an entry must exceed."""
+    trim()
     s = m @ m.T
     s[ids[:, None] == ids[None, :]] = -2
     k = min(k, len(ids) - 1)

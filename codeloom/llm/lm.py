@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TOKENIZER, read_ranks
-from .common import mix64, written
+from .common import mix64, one_thread, written
 from .packing import tokenize_and_pack, unpack
 
 #: Ids that a window sees, and scores; numbers of the model; classes.
@@ -27,8 +27,8 @@ CONTEXT, STRIDE, WIDE, CLASSES = 40, 24, 16, 64
 #: Each round trains on another share of all texts' windows (by a hash of text and place), a batch of windows at a
 #: time; the rounds together on each window once.
 SHARE, ROUNDS, BATCH, RATE = 1 / 2, 2, 192, 0.08
-#: Bound of attention and class logits.
-LIMIT = 60.0
+#: Bound of attention and class logits, and what sums of their exponentials have at least.
+LIMIT, TINY = np.float32(60), np.float32(1e-30)
 _F, _U = np.float32, np.uint64
 _NAMES = ("E", "P", "Q", "K", "V", "O", "U", "b")
 
@@ -59,7 +59,7 @@ class Model:
         self.p = {"E": 0.3 * draw(n + 1, d), "P": 0.3 * draw(CONTEXT, d), "Q": draw(d, d), "K": draw(d, d), "V": draw(d, d), "O": 0.3 * draw(d, d), "U": 0.3 * draw(d, CLASSES), "b": np.zeros(CLASSES, _F)}
 
     def forward(self, x: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-        """x: (windows, CONTEXT) ids; real: which slots hold one. Class logits for the last STRIDE slots. Logits are held within
+        """x: (windows, CONTEXT) ids; real: which slots hold one. Class logits for the last STRIDE slots. Logits are held under
         LIMIT, so that no maximum need be taken off before exp. a: attention before its division by w, its sums."""
         p, s, d = self.p, CONTEXT - STRIDE, WIDE
         h = p["E"].take(x, 0)
@@ -69,26 +69,26 @@ class Model:
         kv = (h.reshape(-1, d) @ np.concatenate([p["K"], p["V"]], 1)).reshape(len(x), CONTEXT, 2 * d)
         k, v = kv[:, :, :d], kv[:, :, d:]
         a = q @ k.transpose(0, 2, 1)
-        np.clip(a, -LIMIT, LIMIT, out=a)
+        np.minimum(a, LIMIT, out=a)
         a += _CAUSAL
         if not real.all():
             a += np.where(real, _F(0), _F(-1e9))[:, None, :]
         np.exp(a, out=a)
-        w = (a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, _F)).reshape(len(x), STRIDE, 1)
+        w = (a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, _F) + TINY).reshape(len(x), STRIDE, 1)
         o = a @ v
         o /= w
         z = (o.reshape(-1, d) @ p["O"]).reshape(o.shape)
         z += late
         y = (z.reshape(-1, d) @ p["U"]).reshape(len(x), STRIDE, CLASSES)
         y += (self.pair + p["b"]).take(self.cls.take(x[:, s:]), 0)
-        np.clip(y, -LIMIT, LIMIT, out=y)
+        np.minimum(y, LIMIT, out=y)
         return {"h": h, "late": late, "q": q, "k": k, "v": v, "a": a, "w": w, "o": o, "z": z, "y": y}
 
     def log_probs(self, x: np.ndarray, real: np.ndarray, target: np.ndarray) -> np.ndarray:
         y = self.forward(x, real)["y"].reshape(-1, CLASSES)
         c = y[np.arange(len(y)), self.cls.take(target.ravel())]
         np.exp(y, out=y)
-        return (c - np.log(y @ np.ones(CLASSES, _F))).reshape(target.shape) + self.inside.take(target)
+        return (c - np.log(y @ np.ones(CLASSES, _F) + TINY)).reshape(target.shape) + self.inside.take(target)
 
     def gradients(self, x: np.ndarray, real: np.ndarray, target: np.ndarray, on: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss of the targets that are ``on``."""
@@ -97,9 +97,9 @@ class Model:
         y = flat(f["y"])
         np.exp(y, out=y)
         share = on.ravel() / max(1, np.count_nonzero(on))
-        y *= (share / (y @ np.ones(CLASSES, _F))).astype(_F)[:, None]
+        y *= (share / (y @ np.ones(CLASSES, _F) + TINY)).astype(_F)[:, None]
         y[np.arange(len(y)), self.cls.take(target.ravel())] -= share.astype(_F)
-        g = {"U": flat(f["z"]).T @ y, "b": y.sum(0)}
+        g = {"U": (y.T @ flat(f["z"])).T, "b": np.ones(len(y), _F) @ y}
         dz = y @ p["U"].T
         g["O"] = flat(f["o"]).T @ dz
         do = (dz @ p["O"].T).reshape(f["o"].shape)
@@ -107,7 +107,7 @@ class Model:
         a /= f["w"]
         dv = a.transpose(0, 2, 1) @ do
         da = do @ f["v"].transpose(0, 2, 1)
-        da -= (do * f["o"]).sum(2, keepdims=True)  # the same as the sum of da * a
+        da -= np.einsum("ijk,ijk->ij", do, f["o"])[..., None]  # the same as the sum of da * a
         da *= a
         dq, dk = flat(da @ f["k"]), flat(da.transpose(0, 2, 1) @ f["q"])
         h, late = flat(f["h"]), flat(f["late"])
@@ -120,7 +120,7 @@ class Model:
         dh[:, CONTEXT - STRIDE :] += dz.reshape(f["late"].shape)
         if not real.all():
             dh *= real[..., None]
-        g["P"] = dh.sum(0)
+        g["P"] = (np.ones(len(dh), _F) @ dh.reshape(len(dh), -1)).reshape(dh.shape[1:])
         ids = x.ravel()
         # sixteen bits are sorted by radix
         order = np.argsort(ids.astype(np.uint16) if self.vocab < 1 << 16 else ids, kind="stable")
@@ -242,6 +242,7 @@ def _round(packed: DataFrame, model: Model, number: int, share: float) -> None:
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         # a worker that is used again still holds the broadcast's object: it must stay as it was sent
         m = copy.copy(held.value)
         m.p = {k: v.copy() for k, v in m.p.items()}
@@ -309,6 +310,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: s
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for b in batches:
             n = b.column(1).to_numpy(zero_copy_only=False)
             s = score_ids(held.value, _lists(b))
