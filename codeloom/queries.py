@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import dumpview
 from .codeview import code_catalog, ctes
 from .operators import aggregates, graphs, lookups, textsim, usage
 from .operators.predicates import where_all
@@ -290,3 +291,7 @@ def _texts(c) -> DataFrame:
 
 
 _add("field_types", _texts, "SELECT id, field_type_raw AS text, true AS atomic, field_type_raw AS loader, field_type_raw AS query, field_type_raw AS graph FROM field", "field")
+
+# dumps written from the driver's tables, read and resolved
+QUERIES |= dumpview.QUERIES
+ORACLE_SQL |= dumpview.ORACLE_SQL

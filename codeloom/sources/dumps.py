@@ -46,8 +46,12 @@ def unqualified(text: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.element_at(F.split(w, r"\."), -1)), " ")
 
 
-def files(spark: SparkSession, root: str, suffix: str, stream: bool = False) -> DataFrame:
-    """(path, module, value): the whole text of every file below the root that ends with the suffix."""
+def files(spark: SparkSession, root: str | DataFrame, suffix: str, stream: bool = False) -> DataFrame:
+    """(path, module, value): the whole text of every file below the root that ends with the suffix. In place of a folder, root may be
+    a table (path, value) of texts that were read elsewhere, with paths below the root."""
+    if isinstance(root, DataFrame):
+        rows = root.where(F.endswith(F.col("path"), F.lit(suffix)))
+        return rows.select("path", module_name(F.col("path")).alias("module"), "value")
     reader = (spark.readStream if stream else spark.read).schema("value string")
     rows = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(root, wholetext=True)
     base = root.rstrip("/") + "/"
