@@ -48,7 +48,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch: bounds what a Python worker holds of long texts.
+#: Rows of an Arrow batch at most. Its bytes are bounded by the session's spark.sql.execution.arrow.maxBytesPerBatch (64 MB by default), but
+#: for a single text that is longer.
 ARROW_ROWS = 1500
 
 _HELD: dict = {}
@@ -96,8 +97,11 @@ def worker_cache(name: str, make):
 
 
 def texts_of(df: DataFrame, *columns) -> DataFrame:
-    """A projection that goes to Python in small Arrow batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """A projection that goes to Python in small Arrow batches. The setting is the session's, read when the plan runs: it is lowered to
+    ARROW_ROWS, and stays as it is if it is lower."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
     return df.select(*columns) if columns else df
 
 

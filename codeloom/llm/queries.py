@@ -11,43 +11,53 @@ from .common import table
 
 
 def op1_mixing(spark: SparkSession, d: str) -> DataFrame:
+    """Rates and copies of every document: doc_id, tokens, domain, rate, copies."""
     return mixing.document_rates(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
 def op2_bpe(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every text, decoded again and compared: doc_id, n_tokens, ids, lossless."""
     return bpe.encode(table(spark, d, "documents"))
 
 
 def op3_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every text in 16 bits each (the least for this vocabulary), with block offsets."""
     return packing.tokenize_and_pack(table(spark, d, "documents"))
 
 
 def op4_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, each line once; those of which nothing is left are gone."""
     return linededup.dedup_lines(table(spark, d, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Score and verdict of every document: doc_id, score, toxic."""
     docs = table(spark, d, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
 
 
 def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
+    """The near-duplicates among all documents: doc_id, duplicate_of (the one that stays)."""
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
 def op7_lm(spark: SparkSession, d: str) -> DataFrame:
+    """Log-likelihood and perplexity of every document under a model trained on all of them."""
     return lm.score(table(spark, d, "documents"))
 
 
 def op8_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Class and number of links of every vector: vec_id, class_id, links."""
     return embeddings.near_duplicates(table(spark, d, "embeddings"))
 
 
 def op9_compression(spark: SparkSession, d: str) -> DataFrame:
+    """Ratio, chunks and verdict of every document."""
     return quality.compression_bands(table(spark, d, "documents"))
 
 
 def op10_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """All passages that repeat one that stays: doc_id, start_word, n_words, duplicate_of, kept_start, kind."""
     return paragraphs.repeated_passages(table(spark, d, "documents"))
 
 

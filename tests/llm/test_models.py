@@ -224,6 +224,39 @@ def test_pipeline(spark, tmp_path):
     assert bpe and linededup
 
 
+def test_the_sample_is_each_domains_own(spark):
+    """A domain of few rows among many gets all of them, whatever hashes the others have; repeated keys give their least text."""
+    rows = [(i, f"t {i}", "en") for i in range(3000)] + [(3000 + i, f"t {i}", "de") for i in range(12)] + [(3000, "a first", "de"), (3001, None, None)]
+    labels = spark.createDataFrame([(i, 1, 0, 0.0) for i in range(3012)], LABELS)
+    got = mixing.labelled(frame(spark, rows), labels, "text", "doc_id", 20).collect()
+    assert sorted((r["domain"], r["k"]) for r in got if r["domain"] == "de/good") == [("de/good", 3000 + i) for i in range(12)]
+    assert sum(r["domain"] == "en/good" for r in got) == 20 and {r["t"] for r in got if r["k"] == 3000} == {"a first"}
+
+
+@needs_tokenizer
+@pytest.mark.parametrize("case", ["empty", "no labels", "odd"])
+def test_pipeline_of_odd_tables(spark, tmp_path, case):
+    """No rows, no labels; nulls, long texts, repeated rows and columns whose names clash, through all stages."""
+    docs, labels = corpus(60, seed=6)
+    df = {"empty": frame(spark, []), "no labels": frame(spark, docs), "odd": clashing(odd(spark).union(frame(spark, docs)))}[case]
+    df.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([] if case == "no labels" else labels, LABELS).coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    df, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        out.write.parquet(str(tmp_path / name.replace(" ", "")))
+        df = spark.read.parquet(str(tmp_path / name.replace(" ", "")))
+        kept[name] = df.collect()
+    rows = corpus_pipeline.STAGES[4][1](spark, df, str(tmp_path)).collect()
+    assert len(rows) == len(kept["mixing"]) and all(r["lossless"] in (True, None) for r in rows)
+    if case == "empty":
+        assert rows == []
+    if case == "odd":
+        assert [r["__gone"] for r in kept["mixing"]][:1] == [r["__gone"] for r in kept["toxicity"]][:1]  # the user's own, as it was
+        assert {1, 4, 5} <= {r["doc_id"] for r in kept["simhash"]} and sum(r["doc_id"] is None for r in kept["simhash"]) >= 1
+
+
 def test_each_window_is_trained_on():
     from codeloom.llm import lm
 
