@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,11 +60,12 @@ def code_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     tables: dict[str, DataFrame] = {}
     # one scan view per driver table; the projections themselves are the SQL above, which both engines read alike
     for n in ("part", "lineitem", "supplier", "nation", "region", "customer", "documents", "conversations"):
-        read(n).createOrReplaceTempView(n)
+        read(n).createOrReplaceTempView(f"codeloom_{n}")
     for n in ORDER:
-        text = _SQL[n].replace("VARCHAR", "STRING").replace("module m ", "_m AS m ").replace("''\"", "\\'\"")
-        tables[n] = spark.sql(text.replace("FROM instance i JOIN function f", "FROM _instance i JOIN _function f"))
+        # under names of their own, so that no view of the session's is replaced
+        text = re.sub(r"\b(FROM|JOIN) (part|lineitem|supplier|nation|region|customer|documents|conversations|module|function|instance)\b", r"\1 codeloom_\2", _SQL[n])
+        tables[n] = spark.sql(text.replace("VARCHAR", "STRING").replace("''\"", "\\'\""))
         if n in ("module", "function", "instance"):
-            tables[n].createOrReplaceTempView("_m" if n == "module" else f"_{n}")
+            tables[n].createOrReplaceTempView(f"codeloom_{n}")
     tables["import"] = tables["import"].withColumn("hiding_specs", F.lit(None).cast("array<string>"))
     return Catalog(spark, tables)
