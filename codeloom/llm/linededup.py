@@ -197,7 +197,8 @@ def _keep_udf(held, shards: int, least: int):
             out[at] = ~_drops(shard, flat[at], prints[at], own[at], place[at], least)
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
 
-    return F.arrow_udf(keep, "array<boolean>")
+    # not to be evaluated once for the filter and once for the rest, in another worker
+    return F.arrow_udf(keep, "array<boolean>").asNondeterministic()
 
 
 _SALTS = 8

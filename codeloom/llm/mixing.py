@@ -258,5 +258,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = T
     def counted(u: pa.Array, tokens: pa.Array, p: pa.Array) -> pa.Array:
         return pa.array(_decided(u.to_numpy(), p.flatten().to_numpy().reshape(-1, width), tokens.to_numpy(), steps)[1])
 
-    out = table.select("row", F.arrow_udf(counted, "int")("u", "tokens", "p").alias("copies")).where("copies > 0")
+    once = F.arrow_udf(counted, "int").asNondeterministic()  # else the filter would evaluate it again, in another worker
+    out = table.select("row", once("u", "tokens", "p").alias("copies")).where("copies > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"row.`{c}`") for c in docs.columns])
