@@ -43,7 +43,8 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = _file(fn.join(part, F.col("k") == F.col("p_partkey")).select("m", "full", F.struct(F.concat(F.lit("body of "), "full").alias("parser_stringified_code"), F.array("p_size", F.col("p_size") + 3).alias("line_number")).alias("v")), ".hs.function_code.json", _object("full", F.col("v")))
     sup = read("supplier").selectExpr("concat('N', s_nationkey) as m", "s_name", "cast(s_suppkey as int) as i")
     target = F.format_string("Supplier#%09d", (F.col("i") * 7 + 3) % 130)
-    atom = F.to_json(F.struct(F.lit("AtomicType").alias("tag"), F.struct(F.lit("").alias("moduleName'"), target.alias("typeName'"), F.lit("p").alias("packageName")).alias("contents")))
+    sup = sup.join(sup.select(F.col("s_name").alias("_t"), F.col("m").alias("_tm")), target == F.col("_t"), "left").drop("_t")  # where the type that a field refers to is
+    atom = F.to_json(F.struct(F.lit("AtomicType").alias("tag"), F.struct(F.coalesce("_tm", F.lit("")).alias("moduleName'"), target.alias("typeName'"), F.lit("p").alias("packageName")).alias("contents")))
     kinds = sup.select("m", "s_name", F.struct(F.when(F.col("i") % 3 == 0, "newtype").otherwise("data").alias("typeKind"), F.array(F.struct(F.concat(F.lit("Mk"), "s_name").alias("dataConNames"), F.create_map(F.lit("f"), F.from_json(atom, "tag string, contents struct<`moduleName'`:string,`typeName'`:string,packageName:string>")).alias("fields"))).alias("dataConstructors")).alias("v"))
     types = _file(kinds, ".hs.type.typechecker.json", _object("s_name", F.col("v")))
     raw = _file(sup, ".hs.types_code.json", F.to_json(F.collect_list(F.struct(F.col("s_name").alias("typeName"), F.concat("m", F.lit(".hs")).alias("typeLocation"), F.concat(F.lit("data "), "s_name").alias("typeDefinition"), F.array("i", F.col("i") + 4).alias("line_number")))))
@@ -86,7 +87,7 @@ _ROWS = {
     "type": ("id, type_name, type_of_type, raw_code, src_loc, line_number_start, line_number_end, module_id", "SELECT t.id, s_name AS type_name, CASE WHEN i % 3 = 0 THEN 'newtype' ELSE 'data' END AS type_of_type, 'data ' || s_name AS raw_code, m || '.hs' AS src_loc, i AS line_number_start, i + 4 AS line_number_end, d.id AS module_id FROM types t JOIN modules d ON d.name = m"),
     "constructor": ("name, type_id", "SELECT 'Mk' || s_name AS name, id AS type_id FROM types WHERE i % 3 <> 0"),
     "field": ("field_name, name", "SELECT 'f' AS field_name, ref AS name FROM types WHERE i % 3 <> 0"),
-    "type_dependency": ("dependent_id, dependency_id", "SELECT t.id AS dependent_id, u.id AS dependency_id FROM types t JOIN types u ON u.m = t.m AND u.s_name = t.ref WHERE t.i % 3 <> 0 AND t.id <> u.id"),
+    "type_dependency": ("dependent_id, dependency_id", "SELECT t.id AS dependent_id, u.id AS dependency_id FROM types t JOIN types u ON u.s_name = t.ref WHERE t.i % 3 <> 0 AND t.id <> u.id"),
     "class": ("class_name, class_definition, line_number_end, module_id", "SELECT r_name AS class_name, 'class ' || r_name AS class_definition, r_regionkey + 1 AS line_number_end, d.id AS module_id FROM region JOIN modules d ON d.name = 'R' || CAST(r_regionkey AS VARCHAR)"),
     "instance": ("instance_definition, instance_signature, line_number_start, line_number_end, module_id", "SELECT 'instance ' || n_name AS instance_definition, 'C ' || n_name AS instance_signature, n_nationkey AS line_number_start, n_nationkey + 20 AS line_number_end, d.id AS module_id FROM nation JOIN modules d ON d.name = 'Brand' || CAST(n_nationkey + 1 AS VARCHAR)"),
     "instance_function": ("signature, function_id", "SELECT 'C ' || n_name AS signature, f.id AS function_id FROM nation JOIN fns f ON f.m = 'Brand' || CAST(n_nationkey + 1 AS VARCHAR) AND f.line BETWEEN n_nationkey AND n_nationkey + 20 JOIN clear x ON x.id = f.id"),
