@@ -36,7 +36,7 @@ FEW = 256
 #: Entries of the chunk memo of a Python worker; beyond them it is emptied, which costs time only.
 MEMO = 800_000
 #: Bytes of text whose chunks are numbered, and whose new ones are merged, at once.
-SLICE = 3_000_000
+SLICE = 1_500_000
 
 
 def read_ranks(path: str = TOKENIZER) -> list[bytes]:
