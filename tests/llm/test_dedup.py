@@ -196,6 +196,20 @@ def test_components(spark):
     assert common.components(df.limit(0)).count() == 0
 
 
+def test_components_by_few_jobs_and_by_rounds(spark, monkeypatch):
+    """A long chain, whose rounds are many jobs, takes two where edges are few; the rounds give the same."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (500, 500), (None, 7)], "a bigint, b bigint")
+    want = {**dict.fromkeys(range(201), 0), 400: 400, 500: 400}
+    spark.sparkContext.setJobGroup("few", "")
+    assert {r["node"]: r["root"] for r in common.components(edges).collect()} == want
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 8
+    spark.sparkContext.setJobGroup("rounds", "")
+    monkeypatch.setattr(common, "EDGES_IN_TASK", 0)
+    assert {r["node"]: r["root"] for r in common.components(edges).collect()} == want
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) > 8
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_without_ids_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_IDS", 0)
     ids = spark.createDataFrame([(1,), (1,), (None,)], "doc_id bigint")
