@@ -3,9 +3,9 @@
 A fingerprint has 128 bits over the distinct words of a text, a word weighing its length. The embedding of a
 fingerprint is the number of ones in each of 64 segments of two bits; the Manhattan distance of two
 embeddings never exceeds the Hamming distance of the fingerprints, on all segments or on any of them. The
-grid join finds, in each of several tables of some segments, the pairs whose embeddings there lie within
-Manhattan distance 1: every point is put into its own cell and its cells one step up, so an equi-join
-meets each such pair once. Hamming distance over all 128 bits then decides, and beyond CLOSE the words of both texts.
+segments are dealt out to so many tables that a pair within the distance lies within 1 in one of them, by its bits
+and hence by its embedding: every point is put into its own cell and its cells one step up, where each such pair
+meets, so none is left out. Hamming distance over all 128 bits then decides, and beyond CLOSE the words of both texts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, components, list_array, mix64, text_slices, texts_of, uniq, without_ids, written
+from .common import BROADCAST_IDS, components, list_array, mix64, text_slices, texts_of, union, uniq, without_ids, written
 from .words import words
 
 #: Largest Hamming distance of near-duplicates, of 128; beyond CLOSE they must also share their words: copies with a tenth
@@ -26,13 +26,11 @@ from .words import words
 DISTANCE, CLOSE = 20, 16
 #: Least Jaccard similarity of the distinct words of a pair beyond CLOSE.
 JACCARD = 0.8
-#: Share of the pairs at the distance itself that the tables are planned to find; of closer ones they find more.
-RECALL = 0.9
-#: Tables at most; where more were needed, tables have fewer segments, which costs time only.
-MOST_TABLES = 190
+#: So many fingerprints are compared each with each; of more, a table is split into groups of about GROUP.
+FEW, GROUP = 2000, 8000
 _SEGMENTS = 64
-#: Chance that a two-bit segment of two unrelated fingerprints has the same number of ones.
-_SAME = 0.375
+#: Fingerprints side by side in a comparison; pairs that a group collects before it joins them.
+_TILE, _HELD_PAIRS = 2048, 1_000_000
 
 
 def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,28 +58,13 @@ def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out.view(np.int64).reshape(-1, 2), some
 
 
-def plan(n: int, distance: int = DISTANCE, recall: float = RECALL) -> list[np.ndarray]:
-    """The segments of each table for n fingerprints.
-
-    A table has as many segments as keep the expected unrelated partners of a fingerprint at about 32,
-    whatever n, or as MOST_TABLES allows; there are as many tables as find ``recall`` of the pairs at the distance.
-    """
-    size = min(30, max(12, math.ceil(math.log(max(n, 2) * 17 / 32) / -math.log(_SAME))))
-    while True:
-        share = 2 * size / 128
-        # at most one of the changed bits in the table's segments
-        chance = (1 - share) ** distance + distance * share * (1 - share) ** (distance - 1) if distance else 1.0
-        tables = 1 if chance >= recall else math.ceil(math.log(1 - recall) / math.log(1 - chance))
-        if tables <= MOST_TABLES or size == 1:
-            break
-        size -= 1
-    rng, out, pool = np.random.default_rng(20240607), [], np.empty(0, np.int64)
-    for _ in range(tables):
-        if len(pool) < size:
-            pool = rng.permutation(_SEGMENTS)
-        out.append(np.sort(pool[:size]))
-        pool = pool[size:]
-    return out
+def plan(n: int, distance: int = DISTANCE) -> list[np.ndarray]:
+    """The segments of each table for n fingerprints: all of them, dealt out to so many tables that a pair within the distance lies
+    within 1 in one of them at least. Few fingerprints are in one cell of one table, without segments."""
+    if n <= FEW:
+        return [np.empty(0, np.int64)]
+    tables = min(distance // 2 + 1, _SEGMENTS)
+    return [np.sort(x) for x in np.array_split(np.random.default_rng(20240607).permutation(_SEGMENTS), tables)]
 
 
 def embed(halves: np.ndarray) -> np.ndarray:
@@ -107,33 +90,89 @@ def with_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id")
     return texts_of(docs, F.col(key).cast("long"), F.col(text).cast("string")).where(F.col(key).isNotNull()).mapInArrow(run, "k bigint, hi bigint, lo bigint")
 
 
-def near_pairs(unique: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
-    """(a, b, hamming) over distinct fingerprints (node, hi, lo), each pair once, a's and b's nodes in no order."""
+def _within(a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of a, row of b, Hamming distance) of the pairs of these fingerprints within the distance, in tiles."""
+    for lo in range(0, len(b), _TILE):
+        part = b[lo : lo + _TILE]
+        step = max(1, _TILE * 64 // len(part))
+        for top in range(0, len(a), step):
+            # the distance of one half decides on nearly all
+            half = np.bitwise_count(a[top : top + step, 0, None] ^ part[None, :, 0])
+            i, j = np.divmod(np.flatnonzero(half <= distance), len(part))
+            d = half[i, j] + np.bitwise_count(a[top + i, 1] ^ part[j, 1])
+            ok = d <= distance
+            yield top + i[ok], lo + j[ok], d[ok]
+
+
+def _compared(own: np.ndarray, cell: np.ndarray, fp: np.ndarray, bits: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group. own: whether the group is the row's, or one step up from it; cell: the rest of its table's bits."""
+    mine, guests = (x[np.argsort(cell[x], kind="stable")] for x in (np.flatnonzero(own), np.flatnonzero(~own)))
+    edges = np.arange((1 << bits) + 1)
+    at, guest_at = np.searchsorted(cell[mine], edges), np.searchsorted(cell[guests], edges)
+    for c in np.flatnonzero(np.diff(at)).tolist():
+        x = mine[at[c] : at[c + 1]]
+        others = [guests[guest_at[c] : guest_at[c + 1]], *(mine[at[c | 1 << k] : at[(c | 1 << k) + 1]] for k in range(bits) if not c >> k & 1)]
+        for y, same in ((x, True), (np.concatenate(others), False)):
+            for i, j, d in _within(fp[x], fp[y], distance):
+                if same:
+                    i, j, d = i[i < j], j[i < j], d[i < j]
+                yield x[i], y[j], d
+
+
+def near_pairs(unique: DataFrame, n: int, distance: int = DISTANCE, joined: int = -1) -> DataFrame:
+    """(a, b, hamming) of all pairs of distinct fingerprints (node, hi, lo) within the distance, each once, a < b.
+
+    joined: of pairs at this distance or less only so many are returned that the same fingerprints hang together, as (node, least
+    node of its group, 0), and of pairs beyond none that hang together by those of a group; so a dense group of m isn't m * m rows.
+    """
     tables = plan(n, distance)
+    # a table's groups, by so many of its bits, hold some GROUP rows each; within a group the cells are met without a shuffle
+    top = [min(2 * len(t), max(0, math.ceil(math.log2(max(n, 1) / GROUP)))) for t in tables]
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4000):
                 b = batch.slice(lo, 4000)
                 m = b.num_rows
                 fp = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], 1)
-                e = embed(fp).astype(np.int64)
+                bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(m, 16), axis=1).astype(np.int64)
                 for t, seg in enumerate(tables):
-                    power = 3 ** np.arange(len(seg), dtype=np.int64)
-                    own = e[:, seg] @ power
-                    row, s = np.nonzero(e[:, seg] < 2)
-                    at = np.concatenate([np.arange(m), np.arange(m), row])
-                    cell = np.concatenate([own, own, own[row] + power[s]]) * len(tables) + t
-                    side = np.repeat(np.array([0, 1, 2], np.int8), [m, m, len(row)])
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(side), *(c.take(pa.array(at)) for c in b.columns)], ["cell", "side", "node", "hi", "lo"])
-
-    rows = unique.select("node", "hi", "lo").mapInArrow(cells, "cell bigint, side tinyint, node bigint, hi bigint, lo bigint")
-    x = rows.where("side = 0").alias("x")
-    y = rows.where("side > 0").alias("y")
-    hamming = F.expr("bit_count(x.hi ^ y.hi) + bit_count(x.lo ^ y.lo)")
-    manhattan = F.expr(f"bit_count({_unary('x.hi')} ^ {_unary('y.hi')}) + bit_count({_unary('x.lo')} ^ {_unary('y.lo')})")
-    pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & ((F.col("y.side") == 2) | (F.col("x.node") < F.col("y.node"))) & (manhattan <= distance) & (hamming <= distance))
-    return pairs.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b"), hamming.alias("hamming")).where("a <> b").distinct()
+                    value = bits[:, np.concatenate([2 * seg, 2 * seg + 1])] @ (1 << np.arange(2 * len(seg), dtype=np.int64))
+                    group, cell = value & (1 << top[t]) - 1, value >> top[t]
+                    row, k = np.nonzero(group[:, None] >> np.arange(top[t]) & 1 ^ 1)
+                    at = np.append(np.arange(m), row)
+                    cols = [np.append(group, group[row] | 1 << k) * len(tables) + t, np.arange(len(at)) < m, cell[at].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *(c.take(pa.array(at)) for c in b.columns)], ["g", "own", "cell", "node", "hi", "lo"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        own, cell, node, g = t["own"].to_numpy(), t["cell"].to_numpy(), t["node"].to_numpy(), t["g"][0].as_py()
+        fp = np.stack([t["hi"].to_numpy(), t["lo"].to_numpy()], 1).view(np.uint64)
+        of = g % len(tables)
+        label, held, size, out = np.arange(len(node)), [], 0, []
+
+        def settle() -> None:
+            i, j, d = (np.concatenate(x) for x in zip(*held))
+            union(label, i[d <= joined], j[d <= joined])
+            keep = (d > joined) & (label[i] != label[j])
+            out.append((i[keep], j[keep], d[keep]))
+            held.clear()
+
+        for found in _compared(own, cell, fp, 2 * len(tables[of]) - top[of], distance):
+            if len(found[0]):
+                held.append(found)
+                size += len(found[0])
+                if size > _HELD_PAIRS:
+                    settle()
+                    size = 0
+        if held:
+            settle()
+        i, j, d = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))
+        keep, led = label[i] != label[j], np.flatnonzero(label != np.arange(len(label)))
+        a, b = (np.append(node[x[keep]], node[y]) for x, y in ((i, led), (j, label[led])))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "hamming": np.append(d[keep], np.zeros(len(led))).astype(np.int32)})
+
+    rows = unique.select("node", "hi", "lo").mapInArrow(spread, "g bigint, own boolean, cell int, node bigint, hi bigint, lo bigint")
+    return rows.groupBy("g").applyInArrow(compare, "a bigint, b bigint, hamming int").distinct()
 
 
 def _same_words(docs: DataFrame, pairs: DataFrame, text: str, key: str, least: float) -> DataFrame:
@@ -170,7 +209,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", di
     fp = with_fingerprints(docs, text, key)
     fp = written(fp if among is None else fp.join(among, "k", "left_semi"), "fingerprints")
     unique = written(fp.groupBy("hi", "lo").agg(F.min("k").alias("node")), "unique")
-    pairs = near_pairs(unique, unique.count(), distance)
+    pairs = near_pairs(unique, unique.count(), distance, min(distance, CLOSE))
     if distance > CLOSE:
         pairs = written(pairs, "pairs")
         pairs = pairs.where(F.col("hamming") <= CLOSE).select("a", "b").union(_same_words(docs, pairs.where(F.col("hamming") > CLOSE).select("a", "b"), text, key, JACCARD))

@@ -168,6 +168,40 @@ def test_copies_beyond_the_close_distance(spark):
     assert [tuple(r) for r in simhash._same_words(frame(spark, list(enumerate(texts))), pairs, "text", "doc_id", 0.8).collect()] == [(0, 400)]
 
 
+def test_no_pair_within_the_distance_is_left_out(spark, monkeypatch):
+    """All pairs, also at the distance itself, by the tables for many fingerprints; and their groups, if they are joined at once."""
+    rng = np.random.default_rng(31)
+    base = rng.integers(0, 2, (300, 128), dtype=np.uint8)
+    bits = np.repeat(base, 6, axis=0)
+    for row in range(len(bits)):
+        bits[row, rng.permutation(128)[: row % 6 * 2]] ^= 1  # two of a base differ in up to 18 bits
+    bits[1::6] = base
+    for row in range(1, len(bits), 6):
+        bits[row, rng.permutation(128)[:20]] ^= 1
+    u = np.unique(np.packbits(bits, axis=1).view(np.int64), axis=0)
+    ham = np.bitwise_count((u[:, None] ^ u[None]).view(np.uint64)).sum(2)
+    want = {(int(a), int(b)): int(ham[a, b]) for a, b in zip(*np.nonzero(ham <= 20)) if a < b}
+    df = spark.createDataFrame([(i, int(x[0]), int(x[1])) for i, x in enumerate(u)], "node bigint, hi bigint, lo bigint")
+    assert sum(d == 20 for d in want.values()) > 300
+    monkeypatch.setattr(simhash, "FEW", 0)
+    for group in (8, 500, 8000):
+        monkeypatch.setattr(simhash, "GROUP", group)
+        assert {(r["a"], r["b"]): r["hamming"] for r in simhash.near_pairs(df, len(u)).collect()} == want
+    monkeypatch.setattr(simhash, "_HELD_PAIRS", 10)
+    joined = simhash.near_pairs(df, len(u), joined=16).collect()
+    close = spark.createDataFrame([p for p, d in want.items() if d <= 16], "a bigint, b bigint")
+    roots = lambda x: {r["node"]: r["root"] for r in common.components(x).collect()}
+    assert roots(spark.createDataFrame([r[:2] for r in joined if r["hamming"] == 0], "a bigint, b bigint")) == roots(close)
+    whole = spark.createDataFrame(list(want), "a bigint, b bigint")
+    assert roots(spark.createDataFrame([r[:2] for r in joined], "a bigint, b bigint")) == roots(whole)
+
+
+def test_plan_deals_out_all_segments():
+    for n in (10**5, 10**10):
+        tables = simhash.plan(n)
+        assert sorted(np.concatenate(tables).tolist()) == list(range(64)) and 2 * len(tables) > simhash.DISTANCE
+
+
 def test_plan_at_the_distance_itself():
     for n in (10, 10**5, 10**7):
         tables = simhash.plan(n)
