@@ -26,6 +26,8 @@ SAMPLE = 600
 #: Target shares of the tokens; domains that aren't named share nothing.
 TARGETS = {"en/good": 0.40, "de/good": 0.18, "fr/good": 0.18, "es/good": 0.18, "en/poor": 0.02, "de/poor": 0.02, "fr/poor": 0.01, "es/poor": 0.01}
 _BUCKETS = 1 << 14
+#: Entries (a feature of a text) whose products are held at once in training.
+_ENTRIES = 1 << 16
 #: The descent ends when the weighted residual is TOLERANCE of the targets, or when so many steps (each replays those before it) have
 #: not brought it there: then the residual is logged.
 STEPS, TOLERANCE = 200, 1e-6
@@ -67,29 +69,45 @@ def train(texts: list[str | None], y: np.ndarray, names: list[str], steps: int =
         key = np.sort(doc.astype(np.int64) << 32 | f)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
         d = key[first] >> 32
-        rows.append(d + lo)
-        cols.append(key[first] & 0xFFFFFFFF)
-        vals.append(np.diff(np.append(first, len(key))) / np.maximum(n[d], 1))
+        rows.append((d + lo).astype(np.int32))
+        cols.append((key[first] & 0xFFFFFFFF).astype(np.int32))
+        vals.append((np.diff(np.append(first, len(key))) / np.maximum(n[d], 1)).astype(np.float32))
     r, c, v = (np.concatenate(x) for x in (rows, cols, vals))
+    rows, cols, vals = [], [], []
     k, n = len(names), len(texts)
-    used, c = np.unique(c, return_inverse=True)
+    used = np.flatnonzero(np.bincount(c, minlength=1))
+    c = np.searchsorted(used, c).astype(np.int32)
     # two orders of the entries: by text for the scores, by bucket for the gradient; each is a sum over runs
-    by_text, by_bucket = np.argsort(r, kind="stable"), np.argsort(c, kind="stable")
-    tc, tv, tr, bc, bv, br = (np.ascontiguousarray(x) for x in (c[by_text], v[by_text, None].astype(np.float32), r[by_text], c[by_bucket], v[by_bucket, None].astype(np.float32), r[by_bucket]))
+    order = np.argsort(r, kind="stable")
+    by_text = (r[order], c[order], v[order, None])
+    order = np.argsort(c, kind="stable")
+    by_bucket = (c[order], r[order], v[order, None])
+    del r, c, v, order
     starts = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
-    t0, b0 = starts(tr), starts(bc)
-    some = tr[t0]
+    t0, b0 = starts(by_text[0]), starts(by_bucket[0])
+    some = by_text[0][t0]
+
+    def summed(runs: np.ndarray, at: np.ndarray, by: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Sums over the runs of x[at] * by, some _ENTRIES of them at a time."""
+        out, a = np.empty((len(runs), k), np.float32), 0
+        while a < len(runs):
+            z = max(a + 1, int(np.searchsorted(runs, runs[a] + _ENTRIES)))
+            lo, hi = runs[a], runs[z] if z < len(runs) else len(at)
+            out[a:z] = np.add.reduceat(x[at[lo:hi]] * by[lo:hi], runs[a:z] - lo, axis=0)
+            a = z
+        return out
+
     w, b = np.zeros((len(used), k), np.float32), np.zeros(k, np.float32)
     hot = np.eye(k, dtype=np.float32)[y]
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
     for t in range(1, steps + 1):
         s = np.zeros((n, k), np.float32)
         if len(t0):
-            s[some] = np.add.reduceat(w[tc] * tv, t0, axis=0)
+            s[some] = summed(t0, by_text[1], by_text[2], w)
         s += b
         e = np.exp(s - s.max(1, keepdims=True))
         g = (e / e.sum(1, keepdims=True) - hot) / n
-        gw = np.add.reduceat(g[br] * bv, b0, axis=0) if len(b0) else w
+        gw = summed(b0, by_bucket[1], by_bucket[2], g.astype(np.float32)) if len(b0) else w
         for x, gx, i in ((w, gw, 0), (b, g.sum(0), 2)):
             moments[i] = 0.9 * moments[i] + 0.1 * gx
             moments[i + 1] = 0.99 * moments[i + 1] + 0.01 * gx * gx

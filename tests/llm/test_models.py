@@ -1,6 +1,7 @@
 """Operators 1, 5 and 9, and the pipeline: held-out accuracy, brute force, odd rows."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -304,3 +305,15 @@ def test_a_round_is_the_mean_of_the_partitions(spark):
     for k in sums:
         want = np.where(met_by[:, None] > 0, sums[k] / np.maximum(met_by, 1)[:, None], model.p[k]) if k == "E" else sums[k] / total
         assert np.allclose(model.p[k], want, atol=1e-4), k
+
+
+def test_mixing_training_holds_few_products():
+    """Products of entries and domains are made some at a time: what training holds at once doesn't grow with entries times domains."""
+    rng = random.Random(41)
+    texts = [" ".join(f"w{rng.randrange(30_000)}" for _ in range(600)) for _ in range(400)]
+    mixing.train(texts[:4], np.arange(4) % 2, ["a", "b"], steps=1)  # what a worker keeps anyway
+    tracemalloc.start()
+    model = mixing.train(texts, np.arange(400) % 60, [f"d{i:02}" for i in range(60)], steps=2)
+    peak = tracemalloc.get_traced_memory()[1] >> 20
+    tracemalloc.stop()
+    assert np.isfinite(model.weights).all() and peak < 95, peak
