@@ -429,3 +429,24 @@ def test_near_paragraphs_against_brute_force(spark):
     # through leaders: fewer links, but everyone that has one keeps one
     assert led <= got and {x for p in led for x in p} == {x for p in got for x in p}
     assert VOCAB and prose(rng, 1)
+
+
+def test_no_similar_paragraphs_stay_apart(spark):
+    """Every pair at the threshold or above by keys of few lines; by larger ones, the same components, also where two groups share a key."""
+    rng = random.Random(51)
+    lines = []
+    for _ in range(40):
+        w = words_of(rng, rng.randint(20, 60))
+        lines += [" ".join(edited(rng, w, rng.randint(0, len(w) // 8))) for _ in range(5)]
+    lines = list(dict.fromkeys(lines))
+    sets = [{tuple(x.split()[k : k + 3]) for k in range(len(x.split()) - 2)} for x in lines]
+    want = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    docs = frame(spark, list(enumerate(lines)))
+    units = common.written(paragraphs.units(docs, 0, 0).where("kind = 0"), "t")
+    of = {r["h"]: r["doc"] for r in units.collect()}
+    near = lambda paired: {tuple(sorted((of[r["a"]], of[r["b"]]))) for r in paragraphs.near_paragraphs(docs, units, "text", "doc_id", 0.5, paired).collect()}
+    assert len(want) > 100 and near(paragraphs.PAIRED) == want
+    roots = lambda x: {r["node"]: r["root"] for r in common.components(spark.createDataFrame(sorted(x), "a bigint, b bigint")).collect()}
+    for paired in (1, 2, 3):
+        led = near(paired)
+        assert led <= want and roots(led) == roots(want)
