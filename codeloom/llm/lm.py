@@ -58,97 +58,151 @@ class Model:
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(d)).astype(_F)
         self.p = {"E": 0.3 * draw(n + 1, d), "P": 0.3 * draw(CONTEXT, d), "Q": draw(d, d), "K": draw(d, d), "V": draw(d, d), "O": 0.3 * draw(d, d), "U": 0.3 * draw(d, CLASSES), "b": np.zeros(CLASSES, _F)}
 
+    def _room(self, n: int) -> dict[str, np.ndarray]:
+        """Arrays for n windows, kept from batch to batch: fresh ones would be mapped, and their pages zeroed, again and again."""
+        kind, d = self.p["E"].dtype, WIDE
+        held = _ROOM.get(kind)
+        if held is None or len(held["h"]) < n:
+            shapes = {k: (CONTEXT, d) for k in ("h", "dh", "more")} | {k: (STRIDE, d) for k in ("late", "q", "r", "z", "dz", "dr", "dq", "t")}
+            shapes |= {k: (STRIDE, CONTEXT) for k in ("a", "da")} | {k: (STRIDE, CLASSES) for k in ("y", "u")}
+            held = _ROOM[kind] = {k: np.empty((n, *v), kind) for k, v in shapes.items()}
+        return {k: v[:n] for k, v in held.items()}
+
     def forward(self, x: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-        """x: (windows, CONTEXT) ids; real: which slots hold one. Class logits for the last STRIDE slots. Logits are held under
-        LIMIT, so that no maximum need be taken off before exp. a: attention before its division by w, its sums."""
-        p, s, d = self.p, CONTEXT - STRIDE, WIDE
-        h = p["E"].take(x, 0)
+        """x: (windows, CONTEXT) ids; real: which slots hold one. y: class logits for the last STRIDE slots. Logits are held under
+        LIMIT, so that no maximum need be taken off before exp. a: attention before its division by w, its sums.
+
+        Keys and values are not made: Q K' and V O are matrices of WIDE x WIDE, through which the inputs h meet each other. What is
+        returned stays until the next call."""
+        p, f = self.p, self._room(len(x))
+        s, h, late, q, a, r, z, t, y, u = CONTEXT - STRIDE, *(f[k] for k in ("h", "late", "q", "a", "r", "z", "t", "y", "u"))
+        np.take(p["E"], x, 0, out=h, mode="clip")
         h += p["P"]
-        late = np.ascontiguousarray(h[:, s:])
-        q = (late.reshape(-1, d) @ (p["Q"] * _F(1 / np.sqrt(d)))).reshape(late.shape)
-        kv = (h.reshape(-1, d) @ np.concatenate([p["K"], p["V"]], 1)).reshape(len(x), CONTEXT, 2 * d)
-        k, v = kv[:, :, :d], kv[:, :, d:]
-        a = q @ k.transpose(0, 2, 1)
-        np.minimum(a, LIMIT, out=a)
+        late[...] = h[:, s:]
+        np.matmul(_flat(late), p["Q"] @ p["K"].T * _F(1 / np.sqrt(WIDE)), out=_flat(q))
+        np.matmul(q, h.transpose(0, 2, 1), out=a)
+        if a.size and not a.max() <= LIMIT:
+            np.minimum(a, LIMIT, out=a)
         a += _CAUSAL
-        if not real.all():
-            a += np.where(real, _F(0), _F(-1e9))[:, None, :]
+        part = np.flatnonzero(~real.all(1))
+        if len(part):
+            a[part] += np.where(real[part], _F(0), _F(-1e9))[:, None, :]
         np.exp(a, out=a)
-        w = (a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, _F) + TINY).reshape(len(x), STRIDE, 1)
-        o = a @ v
-        o /= w
-        z = (o.reshape(-1, d) @ p["O"]).reshape(o.shape)
+        w = _flat(a) @ np.ones(CONTEXT, a.dtype)
+        w += TINY
+        np.matmul(a, h, out=r)
+        r /= w.reshape(len(x), STRIDE, 1)
+        np.matmul(_flat(r), p["V"] @ p["O"], out=_flat(z))
         z += late
-        y = (z.reshape(-1, d) @ p["U"]).reshape(len(x), STRIDE, CLASSES)
-        y += (self.pair + p["b"]).take(self.cls.take(x[:, s:]), 0)
-        np.minimum(y, LIMIT, out=y)
-        return {"h": h, "late": late, "q": q, "k": k, "v": v, "a": a, "w": w, "o": o, "z": z, "y": y}
+        np.matmul(_flat(z), p["U"], out=_flat(y))
+        np.take((self.pair + p["b"]).astype(y.dtype, copy=False), self.cls.take(x[:, s:]), 0, out=u, mode="clip")
+        y += u
+        if y.size and not y.max() <= LIMIT:
+            np.minimum(y, LIMIT, out=y)
+        return f | {"w": w, "part": part}
 
     def log_probs(self, x: np.ndarray, real: np.ndarray, target: np.ndarray) -> np.ndarray:
-        y = self.forward(x, real)["y"].reshape(-1, CLASSES)
-        c = y[np.arange(len(y)), self.cls.take(target.ravel())]
+        y = _flat(self.forward(x, real)["y"])
+        c = y.ravel().take(np.arange(0, y.size, CLASSES) + self.cls.take(target.ravel()))
         np.exp(y, out=y)
-        return (c - np.log(y @ np.ones(CLASSES, _F) + TINY)).reshape(target.shape) + self.inside.take(target)
+        return (c - np.log(y @ np.ones(CLASSES, y.dtype) + TINY)).reshape(target.shape) + self.inside.take(target)
 
     def gradients(self, x: np.ndarray, real: np.ndarray, target: np.ndarray, on: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss of the targets that are ``on``."""
-        p, d, f = self.p, WIDE, self.forward(x, real)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        y = flat(f["y"])
+        p, f = self.p, self.forward(x, real)
+        h, late, q, a, r, z, w = (f[k] for k in ("h", "late", "q", "a", "r", "z", "w"))
+        da, dh, more, dz, dr, dq, t = (f[k] for k in ("da", "dh", "more", "dz", "dr", "dq", "t"))
+        y, scale = _flat(f["y"]), _F(1 / np.sqrt(WIDE))
         np.exp(y, out=y)
         share = on.ravel() / max(1, np.count_nonzero(on))
-        y *= (share / (y @ np.ones(CLASSES, _F) + TINY)).astype(_F)[:, None]
-        y[np.arange(len(y)), self.cls.take(target.ravel())] -= share.astype(_F)
-        g = {"U": (y.T @ flat(f["z"])).T, "b": np.ones(len(y), _F) @ y}
-        dz = y @ p["U"].T
-        g["O"] = flat(f["o"]).T @ dz
-        do = (dz @ p["O"].T).reshape(f["o"].shape)
-        a = f["a"]
-        a /= f["w"]
-        dv = a.transpose(0, 2, 1) @ do
-        da = do @ f["v"].transpose(0, 2, 1)
-        da -= np.einsum("ijk,ijk->ij", do, f["o"])[..., None]  # the same as the sum of da * a
+        y *= (share / (y @ np.ones(CLASSES, y.dtype) + TINY)).astype(y.dtype)[:, None]
+        y.ravel()[np.arange(0, y.size, CLASSES) + self.cls.take(target.ravel())] -= share.astype(y.dtype)
+        g = {"U": (y.T @ _flat(z)).T, "b": np.ones(len(y), y.dtype) @ y}
+        np.matmul(y, p["U"].T, out=_flat(dz))
+        # of V O and Q K', whose gradients are those of their factors times the other one
+        vo, qk = p["V"] @ p["O"], p["Q"] @ p["K"].T * scale
+        np.matmul(_flat(dz), vo.T, out=_flat(dr))
+        dvo = _flat(r).T @ _flat(dz)
+        g["V"], g["O"] = dvo @ p["O"].T, p["V"].T @ dvo
+        # a stands for a / w: dr is divided instead
+        dr /= w.reshape(len(x), STRIDE, 1)
+        np.matmul(dr, h.transpose(0, 2, 1), out=da)
+        da -= np.einsum("ijk,ijk->ij", dr, r)[..., None]  # the same as the sum of da * a
         da *= a
-        dq, dk = flat(da @ f["k"]), flat(da.transpose(0, 2, 1) @ f["q"])
-        h, late = flat(f["h"]), flat(f["late"])
-        dq *= _F(1 / np.sqrt(d))
-        dkv = np.concatenate([dk, flat(dv)], 1)
-        g["Q"], kv = late.T @ dq, h.T @ dkv
-        g["K"], g["V"] = kv[:, :d], kv[:, d:]
-        dh = (dkv @ np.concatenate([p["K"], p["V"]], 1).T).reshape(f["h"].shape)
-        dz += dq @ p["Q"].T
-        dh[:, CONTEXT - STRIDE :] += dz.reshape(f["late"].shape)
-        if not real.all():
-            dh *= real[..., None]
-        g["P"] = (np.ones(len(dh), _F) @ dh.reshape(len(dh), -1)).reshape(dh.shape[1:])
+        np.matmul(da, h, out=dq)
+        dqk = _flat(late).T @ _flat(dq) * scale
+        g["Q"], g["K"] = dqk @ p["K"], dqk.T @ p["Q"]
+        np.matmul(a.transpose(0, 2, 1), dr, out=dh)
+        np.matmul(da.transpose(0, 2, 1), q, out=more)
+        dh += more
+        np.matmul(_flat(dq), qk.T, out=_flat(t))
+        dz += t
+        dh[:, CONTEXT - STRIDE :] += dz
+        if len(f["part"]):
+            dh[f["part"]] *= real[f["part"]][..., None]
+        g["P"] = (np.ones(len(dh), dh.dtype) @ dh.reshape(len(dh), CONTEXT * WIDE)).reshape(dh.shape[1:])
         ids = x.ravel()
         # sixteen bits are sorted by radix
         order = np.argsort(ids.astype(np.uint16) if self.vocab < 1 << 16 else ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        g["ids"], g["E"] = ids[first], np.add.reduceat(flat(dh)[order], first, axis=0)
+        np.take(_flat(dh), order, 0, out=_flat(more), mode="clip")
+        g["ids"], g["E"] = ids[first], np.add.reduceat(_flat(more), first, axis=0)
         return g
 
 
+#: Working arrays by type of number, of the largest batch so far.
+_ROOM: dict = {}
+
+
+def _flat(t: np.ndarray) -> np.ndarray:
+    return t.reshape(-1, t.shape[-1])
+
+
 _CAUSAL = np.where(np.arange(CONTEXT)[None, :] <= np.arange(STRIDE)[:, None] + CONTEXT - STRIDE, 0, -1e9).astype(_F)
 
 
+def places(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(list, place) of all windows of these id lists."""
+    many = (np.fromiter(map(len, lists), np.int64, len(lists)) + STRIDE - 1) // STRIDE
+    of = np.repeat(np.arange(len(lists)), many)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def laid(lists: list[np.ndarray], vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All lists in a row, for ``cut``: each list's start in front of it, and room around both for windows that reach beyond; where each
+    list's first window begins; their lengths."""
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    room = CONTEXT + STRIDE
+    base = np.cumsum(n + room) - (n + room)
+    flat = np.full(int((n + room).sum()), vocab, np.int64)
+    if n.sum():
+        flat[np.repeat(base + CONTEXT - STRIDE + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.concatenate(lists)
+    return flat, base, n
+
+
+def cut(row: tuple[np.ndarray, np.ndarray, np.ndarray], of: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(x, real, target, on) of the windows at these places."""
+    flat, base, n = row
+    if not len(of):
+        return np.empty((0, CONTEXT), np.int64), np.empty((0, CONTEXT), bool), np.empty((0, STRIDE), np.int64), np.empty((0, STRIDE), bool)
+    # a window's last slots are the ids before its targets
+    both = np.lib.stride_tricks.sliding_window_view(flat, CONTEXT + 1)[base[of] + w * STRIDE]
+    x, target = both[:, :CONTEXT], both[:, CONTEXT - STRIDE + 1 :].copy()
+    real, on = np.ones(x.shape, bool), np.ones(target.shape, bool)
+    real[w == 0, : CONTEXT - STRIDE] = False
+    last = np.flatnonzero(n[of] < (w + 1) * STRIDE)
+    left = (n[of[last]] - w[last] * STRIDE)[:, None]
+    real[last, CONTEXT - STRIDE :] = np.arange(STRIDE) <= left
+    on[last] = np.arange(STRIDE) < left
+    target[last] *= on[last]
+    return x, real, target, on
+
+
 def windows(lists: list[np.ndarray], vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(x, real, target, on, list, place) of all windows of these id lists; each id is a target, ``on``, exactly once."""
-    n = np.array([len(a) for a in lists], np.int64)
-    many = (n + STRIDE - 1) // STRIDE
-    of = np.repeat(np.arange(len(lists)), many)
-    w = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-    # every list with its start in front, in one array; a window's last slots are the ids before its targets
-    flat = np.concatenate([np.append(vocab, a) for a in lists] or [np.empty(0, np.int64)]).astype(np.int64)
-    base = np.cumsum(n + 1) - (n + 1)
-    slot = w[:, None] * STRIDE - (CONTEXT - STRIDE) + np.arange(CONTEXT)
-    real = (slot >= 0) & (slot <= n[of, None])
-    x = np.where(real, flat[base[of, None] + np.clip(slot, 0, n[of, None])], vocab) if len(of) else np.empty((0, CONTEXT), np.int64)
-    t = w[:, None] * STRIDE + np.arange(STRIDE)
-    on = t < n[of, None]
-    target = np.where(on, flat[base[of, None] + 1 + np.minimum(t, n[of, None] - 1)], 0) if len(of) else np.empty((0, STRIDE), np.int64)
-    return x, real, target, on, of, w
+    of, w = places(lists)
+    return *cut(laid(lists, vocab), of, w), of, w
 
 
 def score_ids(model: Model, lists: list[np.ndarray], batch: int = 128) -> np.ndarray:
@@ -160,11 +214,12 @@ def score_ids(model: Model, lists: list[np.ndarray], batch: int = 128) -> np.nda
         while hi < len(lists) and size < 400_000:
             size += len(lists[hi])
             hi += 1
-        x, real, target, on, of, _ = windows(lists[lo:hi], model.vocab)
+        (of, w), row = places(lists[lo:hi]), laid(lists[lo:hi], model.vocab)
+        lp = np.empty(len(of))
         for a in range(0, len(of), batch):
-            z = a + batch
-            lp = (model.log_probs(x[a:z], real[a:z], target[a:z]) * on[a:z]).sum(1, dtype=np.float64)
-            out[lo:hi] += np.bincount(of[a:z], lp, hi - lo)
+            x, real, target, on = cut(row, of[a : a + batch], w[a : a + batch])
+            lp[a : a + batch] = (model.log_probs(x, real, target) * on).sum(1, dtype=np.float64)
+        out[lo:hi] = np.bincount(of, lp, hi - lo)
         lo = hi
     return out
 
@@ -178,8 +233,12 @@ def descend(model: Model, x, real, target, on, rate: float, seen: dict[str, np.n
         ids = g.pop("ids")
         for k, v in g.items():
             if k == "E":
-                seen[k][ids] += v * v
-                model.p[k][ids] -= _F(rate) * v / np.sqrt(seen[k][ids])
+                n = seen[k].take(ids, 0)
+                n += v * v
+                seen[k][ids] = n
+                v *= _F(rate)
+                v /= np.sqrt(n, out=n)
+                model.p[k][ids] -= v
             else:
                 seen[k] += v * v
                 model.p[k] -= _F(rate) * v / np.sqrt(seen[k])
@@ -255,14 +314,18 @@ def _round(packed: DataFrame, model: Model, number: int, share: float) -> None:
                 while hi < len(lists) and size < 300_000:
                     size += len(lists[hi])
                     hi += 1
-                x, real, target, on, of, w = windows(lists[lo:hi], m.vocab)
+                of, w = places(lists[lo:hi])
                 u = mix64((key[lo:hi][of] * 1_000_003 + w * 31).astype(np.uint64)) >> np.uint64(32)
                 at = np.flatnonzero(_chosen(u, number, share))
                 at = at[np.argsort(mix64(u[at]), kind="stable")]
                 if len(at):
-                    seen = descend(m, x[at], real[at], target[at], on[at], RATE, seen)
-                    targets += int(on[at].sum())
-                    met += np.bincount(x[at][real[at]], minlength=m.vocab + 1)
+                    row, ids = laid(lists[lo:hi], m.vocab), []
+                    for a in range(0, len(at), BATCH):
+                        x, real, target, on = cut(row, of[at[a : a + BATCH]], w[at[a : a + BATCH]])
+                        seen = descend(m, x, real, target, on, RATE, seen)
+                        targets += np.count_nonzero(on)
+                        ids.append(x[real].astype(np.int32))
+                    met += np.bincount(np.concatenate(ids), minlength=m.vocab + 1)
                 lo = hi
         if targets:
             ids = np.flatnonzero(met)

@@ -1,6 +1,7 @@
 """Operators 2, 3 and 7: encoding, packing and language-model scoring."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -186,3 +187,32 @@ def test_lm_learns_and_bears_odd_rows(spark):
 
 
 VOC = "the cat sat on a mat and then it ran off to find some more fish near the old stone bridge".split()
+
+
+def test_lm_batches_reuse_their_arrays():
+    """What a batch of windows needs is kept for the next one: fresh large arrays cost more time than what is done with them."""
+    rng = np.random.default_rng(8)
+    lists = [rng.integers(0, 50, 24 * lm.BATCH - 5)]
+    m = small_model(lists)
+    x, real, target, on, of, w = lm.windows(lists, 50)
+    m.gradients(x, real, target, on)  # makes them
+    for f, most in ((lambda: m.gradients(x, real, target, on), 1.0), (lambda: m.log_probs(x, real, target), 0.5)):
+        tracemalloc.start()
+        f()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most, peak
+
+
+def test_windows_are_cut_where_they_are_chosen():
+    rng = np.random.default_rng(7)
+    lists = [rng.integers(0, 50, n) for n in (0, 1, 23, 24, 25, 0, 47, 48, 49, 130)]
+    x, real, target, on, of, w = lm.windows(lists, 50)
+    at = rng.permutation(len(of))[:7]
+    for got, want in zip(lm.cut(lm.laid(lists, 50), of[at], w[at]), (x, real, target, on)):
+        assert (got == want[at]).all()
+    for i in range(len(of)):  # against the list itself
+        seq = np.append(50, lists[of[i]])
+        slots = w[i] * lm.STRIDE - (lm.CONTEXT - lm.STRIDE) + np.arange(lm.CONTEXT)
+        inside = (slots >= 0) & (slots < len(seq))
+        assert (real[i] == inside).all() and (x[i] == np.where(inside, seq[np.clip(slots, 0, len(seq) - 1)], 50)).all()
