@@ -11,9 +11,7 @@ its length but for the sorting of buckets, which is what very long pre-tokens ne
 from __future__ import annotations
 
 import base64
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_slices, list_array, texts_of, uniq, worker_cache
+from .common import column_slices, list_array, mix64, texts_of, uniq, worker_cache
 
 #: Rank file (base64 of the token, space, rank). A parameter of every function here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -33,9 +31,11 @@ NONE = np.int32(1 << 30)
 NONE_ = int(NONE)
 #: Buckets of at most so many positions are merged one by one.
 FEW = 256
-#: Entries of the chunk memo of a Python worker; beyond them it is emptied, which costs time only.
+#: Entries of the chunk memo of a Python worker, and of its memo of pieces; beyond them it is emptied, which costs time only.
 MEMO = 800_000
-#: Bytes of text whose chunks are numbered, and whose new ones are merged, at once.
+#: Bytes of a string that is numbered in numpy, at most: they and the length, as the last byte, fill four words.
+SHORT = 31
+#: Bytes of text whose chunks are numbered at once, and bytes of new chunks that are merged at once.
 SLICE = 1_500_000
 
 
@@ -88,6 +88,120 @@ class RankQueue:
         return at, self.buckets.pop(at)
 
 
+class Grown:
+    """An array that grows at its end; ``a`` has room for more than the ``n`` values that count."""
+
+    def __init__(self, kind, width: tuple = ()):
+        self.a, self.n = np.empty((1024, *width), kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        need = self.n + len(x)
+        if need > len(self.a):
+            a = np.empty((max(need, len(self.a) * 3 // 2), *self.a.shape[1:]), self.a.dtype)
+            a[: self.n] = self.a[: self.n]
+            self.a = a
+        self.a[self.n : need] = x
+        self.n = need
+
+
+def _ends(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column without nulls, from its first string on, and n + 1 ends."""
+    _, at, data = strings.buffers()
+    ends = np.frombuffer(at, np.int32)[strings.offset :][: len(strings) + 1] if len(strings) else np.zeros(1, np.int32)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw, ends - ends[0]
+
+
+class Numbers:
+    """Numbers different strings in the order in which they come, many at a time.
+
+    A string of up to SHORT bytes makes four words, filled up with zeros, the length in the last byte: the same words are
+    the same string. They stand in an open-addressing table by their hash, and are compared. Longer strings, which are
+    few, stand in a dict.
+    """
+
+    _FILL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+    _LONG = np.uint64(255 << 56)
+
+    def __init__(self):
+        self.words, self.long = Grown(np.uint64, (4,)), {}
+        self.table = np.full(1 << 12, -1, np.int32)
+
+    def __len__(self) -> int:
+        return self.words.n
+
+    def _at(self, w: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = w[:, 0] * self._MIX[0]
+            for k in (1, 2, 3):
+                h += w[:, k] * self._MIX[k]
+        return (mix64(h) & np.uint64(len(self.table) - 1)).astype(np.int64)
+
+    def _place(self, number: np.ndarray, at: np.ndarray) -> None:
+        """Into the next free slot from ``at`` on; of several for a slot the last one gets it."""
+        while len(number):
+            free = self.table[at] < 0
+            self.table[at[free]] = number[free]
+            left = self.table[at] != number
+            number, at = number[left], at[left] + 1 & len(self.table) - 1
+
+    def _rebuild(self) -> None:
+        words = self.words.a[: len(self)]
+        number = np.flatnonzero(words[:, 3] != self._LONG).astype(np.int32)
+        self.table = np.full(len(self.table), -1, np.int32)
+        self._place(number, self._at(words[number]))
+
+    def of(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each string, and where those stand that are new, in the order of their numbers. No string may come twice."""
+        raw, ends = _ends(strings)
+        size = np.diff(ends)
+        out = np.full(len(size), -1, np.int32)
+        short = np.flatnonzero(size <= SHORT)
+        raw = np.append(raw, np.zeros(32, np.uint8))
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the eight bytes from each byte on
+        start, n = ends[:-1][short], size[short]
+        w = np.empty((len(short), 4), np.uint64)
+        for k in range(4):
+            w[:, k] = eight[start + 8 * k] & self._FILL[np.clip(n - 8 * k, 0, 8)]
+        w[:, 3] |= n.astype(np.uint64) << np.uint64(56)
+        at = self._at(w)
+        left = np.arange(len(short))
+        while len(left):
+            found = self.table[at[left]]
+            left, found = left[found >= 0], found[found >= 0]
+            there, want = self.words.a[found], w[left]
+            same = (there[:, 0] == want[:, 0]) & (there[:, 1] == want[:, 1]) & (there[:, 2] == want[:, 2]) & (there[:, 3] == want[:, 3])
+            out[short[left[same]]] = found[same]
+            left = left[~same]
+            at[left] = at[left] + 1 & len(self.table) - 1
+        new = np.flatnonzero(out[short] < 0)
+        number = np.arange(len(self), len(self) + len(new), dtype=np.int32)
+        out[short[new]] = number
+        self.words.add(w[new])
+        if 3 * len(self) > len(self.table):
+            self.table = np.empty(1 << (4 * len(self)).bit_length(), np.int32)
+            self._rebuild()
+        else:
+            self._place(number, at[new])
+        fresh = [short[new]]
+        for i in np.flatnonzero(size > SHORT).tolist():
+            name = raw[ends[i] : ends[i + 1]].tobytes()
+            if name not in self.long:
+                self.long[name] = len(self)
+                self.words.add(np.array([[0, 0, 0, self._LONG]], np.uint64))
+                fresh.append([i])
+            out[i] = self.long[name]
+        return out, np.concatenate(fresh).astype(np.int64)
+
+    def keep(self, numbers: np.ndarray) -> None:
+        """Only these, which are sorted, numbered anew in their order."""
+        now = dict(zip(numbers.tolist(), range(len(numbers)))) if self.long else {}
+        self.long = {s: now[i] for s, i in self.long.items() if i in now}
+        self.words.a, self.words.n = self.words.a[numbers], len(numbers)
+        self._rebuild()
+
+
 class Bpe:
     """A vocabulary with its merge table; ``encode`` and ``decode`` work on whole batches."""
 
@@ -124,6 +238,7 @@ class Bpe:
         self.bytes = self._rank(self.byte_id[pair >> 8], self.byte_id[pair & 255])
         self.split = regex.compile(split)
         self._forget()
+        self._forget_pieces()
         self.binary = pa.array(tokens, pa.binary())
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
@@ -149,14 +264,16 @@ class Bpe:
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after the other, and how many each has; no merge crosses a piece's end."""
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        return self.merge_raw(np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+
+    def merge_raw(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of the bytes of all pieces in a row and the length of each."""
         n = int(size.sum())
         if not n:
-            return np.empty(0, np.int32), np.zeros(len(pieces), np.int64)
+            return np.empty(0, np.int32), np.zeros(len(size), np.int64)
         # tok[n] stands for the end; nxt and prv of a piece's ends point there
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
         tok = np.append(self.byte_id[raw], -1).astype(np.int32)
-        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
         nxt, prv = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         ends = np.cumsum(size)[size > 0] - 1
         starts = ends - size[size > 0] + 1
@@ -264,28 +381,48 @@ class Bpe:
                 queue.push(r, again)
             push(np.concatenate([inner_l, has]) if len(inner_l) else has)
         live = np.flatnonzero(alive[:n])
-        return tok[live], np.bincount(owner[live], minlength=len(pieces))
+        return tok[live], np.bincount(owner[live], minlength=len(size))
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces in a row, with repeats, and n + 1 ends; each different piece is merged once."""
-        number: defaultdict[str, int] = defaultdict(count().__next__)
-        at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        ids, many = self.merge([p.encode() for p in number])
-        size, start = many[at], (np.cumsum(many) - many)[at]
-        ends = np.append(0, np.cumsum(size))
-        return ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends
-
-    def _learn(self, known: int) -> None:
-        """Ids of the chunks that the memo has numbered from ``known`` on.
+        """The ids of pieces in a row, with repeats, and n + 1 ends. Only pieces that the memo has not are merged, each once; long ones,
+        which hardly come again, don't stay there."""
+        if len(self.pieces) > MEMO:
+            self._forget_pieces()
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        short = np.diff(_ends(coded.dictionary)[1]) <= SHORT
+        known, fresh = self.pieces.of(coded.dictionary.filter(pa.array(short)))
+        number = np.empty(len(short), np.int32)
+        number[short] = known
+        number[~short] = np.arange(len(self.pieces), len(self.pieces) + len(short) - len(known))
+        new = np.append(np.flatnonzero(short)[fresh], np.flatnonzero(~short))
+        raw, ends = _ends(coded.dictionary.take(pa.array(new)))
+        ids, many = self.merge_raw(raw, np.diff(ends).astype(np.int64))
+        self.piece_start.add(np.cumsum(many) - many + self.piece_ids.n)
+        self.piece_size.add(many)
+        self.piece_ids.add(ids)
+        at = number[coded.indices.to_numpy(zero_copy_only=False)]
+        size, start = self.piece_size.a[at], self.piece_start.a[at]
+        ends = np.append(0, np.cumsum(size, dtype=np.int64))
+        out = self.piece_ids.a[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        self.piece_start.n = self.piece_size.n = len(self.pieces)
+        self.piece_ids.n -= int(many[len(fresh) :].sum())
+        return out, ends
+
+    def _forget_pieces(self) -> None:
+        self.pieces = Numbers()
+        self.piece_size, self.piece_start, self.piece_ids = (Grown(np.int32) for _ in range(3))
+
+    def _learn(self) -> None:
+        """Ids of the chunks that the memo has numbered since it last learned.
 
         A chunk is what stands between two single spaces (the first one, which no space precedes, is kept
         under a leading space). Where it neither starts nor ends with white space, the split pattern treats
         it, with the space before it, apart from its surroundings, so its ids never depend on the text
         around it. Any other chunk is marked: its text takes the slow way.
         """
-        new = list(islice(self.memo, known, None))
+        new, self.new = pa.chunked_array(self.new, pa.string()).to_pylist(), []
         head = [c[:1] == " " for c in new]
-        slow = [c != " " and c[-1].isspace() if h else not c or c[0].isspace() or c[-1].isspace() for c, h in zip(new, head)]
+        slow = [c != " " and c[-1].isspace() if h else not c or c.strip() != c for c, h in zip(new, head)]
         body = [i for i, (h, bad) in enumerate(zip(head, slow)) if not h and not bad]
         heads = [i for i, (h, bad) in enumerate(zip(head, slow)) if h and not bad]
         # all chunks are split at once: where one ends, so does a piece
@@ -303,72 +440,101 @@ class Bpe:
         stop = ends[np.array([0, *cut], np.int64)]
         size, start = np.zeros(len(new), np.int32), np.zeros(len(new), np.int32)
         at = np.array(body + heads, np.int64)
-        size[at], start[at] = np.diff(stop), stop[:-1] + len(self.flat)
-        self.size, self.start = np.append(self.size, size), np.append(self.start, start)
-        self.flat = np.append(self.flat, ids)
-        self.slow = np.append(self.slow, np.array(slow, bool))
+        size[at], start[at] = np.diff(stop), stop[:-1] + self.flat.n
+        self.size.add(size)
+        self.start.add(start)
+        self.flat.add(ids)
+        self.slow.add(np.array(slow, bool))
 
     def _forget(self) -> None:
-        #: Numbers the chunks in the order in which they come.
-        self.memo: defaultdict[str, int] = defaultdict(count().__next__)
-        self.size, self.start, self.uses = (np.empty(0, np.int32) for _ in range(3))
-        self.flat, self.slow = np.empty(0, np.int32), np.empty(0, bool)
+        #: Numbers the chunks in the order in which they come; ``new`` has those without ids as yet.
+        self.memo = Numbers()
+        self.new: list[pa.Array] = []
+        self.size, self.start, self.uses, self.flat = (Grown(np.int32) for _ in range(4))
+        self.slow = Grown(bool)
 
     def _trim(self) -> None:
         """Keep the chunks that came more than once; all go if these are more than half."""
-        keep = np.flatnonzero(self.uses > 1)
+        keep = np.flatnonzero(self.uses.a[: self.uses.n] > 1)
         if len(keep) > MEMO // 2:
             return self._forget()
-        names = list(self.memo)
-        size = self.size[keep]
-        self.flat = self.flat[np.repeat(self.start[keep] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        self.memo = defaultdict(count(len(keep)).__next__, zip([names[i] for i in keep.tolist()], range(len(keep))))
-        self.size, self.slow, self.uses = size, self.slow[keep], self.uses[keep] // 2
-        self.start = np.cumsum(size, dtype=np.int32) - size
+        size, start, uses, flat, slow = (x.a for x in (self.size, self.start, self.uses, self.flat, self.slow))
+        memo = self.memo
+        memo.keep(keep)
+        self._forget()
+        self.memo = memo
+        size = size[keep]
+        ends = np.cumsum(size, dtype=np.int32)
+        self.flat.add(flat[np.repeat(start[keep] - ends + size, size) + np.arange(size.sum())])
+        self.size.add(size)
+        self.start.add(ends - size)
+        self.slow.add(slow[keep])
+        self.uses.add(uses[keep] // 2)
 
     def _numbered(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The memo's numbers of all chunks of all texts, and n + 1 ends. Arrow splits, and numbers what differs; only that is met in Python."""
+        """The memo's numbers of all chunks of all texts, and n + 1 ends. Arrow splits, and numbers what differs; the memo is asked for that
+        only, and Python meets what is new."""
         lists = pc.split_pattern(column, " ")
         ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         at = coded.indices.to_numpy(zero_copy_only=False)
         first = ends[:-1][np.diff(ends) > 0]  # no space stands before these
-        heads = coded.take(pa.array(first)).dictionary_decode().to_numpy(zero_copy_only=False)
+        heads = pc.binary_join_element_wise("", coded.take(pa.array(first)).dictionary_decode().cast(pa.string()), " ").dictionary_encode()
         rest = np.ones(len(at), bool)
         rest[first] = False
-        used = np.zeros(len(coded.dictionary), bool)
-        used[at[rest]] = True
+        uses = np.bincount(at[rest], minlength=len(coded.dictionary))
+        used = uses > 0
+        strings = pa.concat_arrays([x.cast(pa.string()) for x in (coded.dictionary.filter(pa.array(used)), heads.dictionary)])
+        got, fresh = self.memo.of(strings)
+        self.new.append(strings.take(pa.array(fresh)))
         number = np.zeros(len(used), np.int32)
-        get = self.memo.__getitem__
-        number[used] = np.fromiter(map(get, coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False)), np.int32)
+        body, head = got[: len(got) - len(heads.dictionary)], got[len(got) - len(heads.dictionary) :]
+        number[used] = body
         idx = number[at]
-        idx[first] = np.fromiter((get(" " + h) for h in heads), np.int32, len(heads))
+        of_heads = heads.indices.to_numpy(zero_copy_only=False)
+        idx[first] = head[of_heads]
+        self.uses.add(np.zeros(len(fresh), np.int32))
+        self.uses.a[body] += uses[used].astype(np.int32)
+        self.uses.a[head] += np.bincount(of_heads, minlength=len(head)).astype(np.int32)
         return idx, ends
 
+    def slices(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, stop, flat ids, offsets) of runs of texts with at most about SLICE bytes each. New chunks wait until they have SLICE bytes,
+        or the texts SLICE chunks, or until the column ends: then they are merged at once."""
+        held, chunks = [], 0
+        for lo, hi in column_slices(column, SLICE):
+            if not held and len(self.memo) > MEMO:
+                self._trim()
+            held.append((lo, hi, *self._numbered(column.slice(lo, hi - lo))))
+            chunks += len(held[-1][2])
+            if hi < len(column) and chunks < SLICE and sum(x.nbytes for x in self.new) < SLICE:
+                continue
+            self._learn()
+            for lo, hi, idx, ends in held:
+                yield lo, hi, *self._encoded(column, lo, idx, ends)
+            held, chunks = [], 0
+
+    def _encoded(self, column: pa.Array, lo: int, idx: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size.a[idx]
+        total = np.cumsum(size, dtype=np.int32)  # a slice has fewer bytes than 2**31, hence fewer ids
+        # a chunk's ids lie in a row: from its start on, each is one step beyond the one before
+        ids = self.flat.a[np.repeat(self.start.a[idx] - total + size, size) + np.arange(total[-1], dtype=np.int32)] if len(idx) else np.empty(0, np.int32)
+        n = np.diff(np.append(np.int32(0), total)[ends])
+        slow = np.unique(np.searchsorted(ends, np.flatnonzero(self.slow.a[idx]), "right") - 1)
+        if len(slow):
+            ids, n = self._slow(column, lo, slow, ids, n)
+        offsets = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=offsets[1:])
+        return ids, offsets
+
     def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and n + 1 offsets; a null text has no ids."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        out, counts = [], []
-        for lo, hi in column_slices(column, SLICE):
-            if len(self.memo) > MEMO:
-                self._trim()
-            known = len(self.memo)
-            idx, ends = self._numbered(column.slice(lo, hi - lo))
-            self._learn(known)
-            self.uses = np.append(self.uses, np.zeros(len(self.memo) - known, np.int32)) + np.bincount(idx, minlength=len(self.memo)).astype(np.int32)
-            size = self.size[idx]
-            total = np.cumsum(size, dtype=np.int32)  # a slice has fewer bytes than 2**31, hence fewer ids
-            # a chunk's ids lie in a row: from its start on, each is one step beyond the one before
-            ids = self.flat[np.repeat(self.start[idx] - total + size, size) + np.arange(total[-1], dtype=np.int32)] if len(idx) else np.empty(0, np.int32)
-            n = np.diff(np.append(np.int32(0), total)[ends])
-            slow = np.unique(np.searchsorted(ends, np.flatnonzero(self.slow[idx]), "right") - 1)
-            if len(slow):
-                ids, n = self._slow(column, lo, slow, ids, n)
+        out, offsets = [np.empty(0, np.int32)], np.zeros(len(column) + 1, np.int64)
+        for lo, hi, ids, at in self.slices(column):
             out.append(ids)
-            counts.append(n)
-        offsets = np.zeros(len(column) + 1, np.int64)
-        np.cumsum(np.concatenate(counts) if counts else [], out=offsets[1:])
-        return np.concatenate(out) if out else np.empty(0, np.int32), offsets
+            offsets[lo + 1 : hi + 1] = offsets[lo] + at[1:]
+        return np.concatenate(out), offsets
 
     def _slow(self, column: pa.Array, lo: int, slow: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts with a chunk that its surroundings split otherwise, split as wholes."""
@@ -463,9 +629,8 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer:
         bpe = loaded(held)
         for b in batches:
             column = b.column(1)
-            for lo, hi in column_slices(column, SLICE):
+            for lo, hi, ids, offsets in bpe.slices(column):
                 part = column.slice(lo, hi - lo)
-                ids, offsets = bpe.encode(part)
                 null = part.is_null().to_numpy(zero_copy_only=False)
                 same = pc.equal(bpe.decode(ids, offsets), part.cast(pa.binary()))
                 n = pa.array(np.diff(offsets).astype(np.int32), mask=null)

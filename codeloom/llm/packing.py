@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SLICE, TOKENIZER, Held, loaded
-from .common import column_slices, list_array, texts_of
+from .bpe import TOKENIZER, Held, loaded
+from .common import list_array, texts_of
 
 #: Ids in a block; a multiple of 8, so that a full block ends on a byte whatever the width.
 BLOCK = 1024
@@ -130,10 +130,8 @@ def tokenize_and_pack(docs: DataFrame, text: str = "text", key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(held)
         for b in batches:
-            for lo, hi in column_slices(b.column(1), SLICE):
-                part = b.column(1).slice(lo, hi - lo)
-                ids, offsets = bpe.encode(part)
-                null = part.is_null().to_numpy(zero_copy_only=False)
+            for lo, hi, ids, offsets in bpe.slices(b.column(1)):
+                null = b.column(1).slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False)
                 yield _rows(b.column(0).slice(lo, hi - lo), ids, offsets, null, bits, block)
 
     return texts_of(docs, F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, PACKED)

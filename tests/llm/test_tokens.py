@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,6 +81,67 @@ def test_memo_is_trimmed(vocab, monkeypatch):
         assert b.decode(ids, at).to_pylist() == [t.encode()] and ids.tolist() == vocab.encode([t])[0].tolist()
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet="ab\0é😀", max_size=4).map(lambda t: t * 4) | st.text(alphabet="ab\0", max_size=40), unique=True, max_size=30), max_size=6), st.data())
+def test_numbers_are_those_of_a_dict(rounds, data):
+    numbers, want = bpe.Numbers(), {}
+    for strings in rounds:
+        got, fresh = numbers.of(pa.array(["before", *strings], pa.string()).slice(1))
+        new = [strings[i] for i in fresh.tolist()]
+        assert sorted(new) == sorted(s for s in strings if s not in want)
+        for s in new:
+            want[s] = len(want)
+        assert got.tolist() == [want[s] for s in strings] and len(numbers) == len(want)
+        if data.draw(st.booleans()):
+            kept = [s for s in want if data.draw(st.booleans())]
+            numbers.keep(np.array([want[s] for s in kept], np.int64))
+            want = {s: i for i, s in enumerate(kept)}
+
+
+@needs_tokenizer
+def test_a_piece_is_merged_once(vocab, monkeypatch):
+    """Neither in another chunk nor in another slice again; the new chunks of several slices are merged at once."""
+
+    class Counting(bpe.RankQueue):
+        made = pushed = 0
+
+        def __init__(self, n):
+            Counting.made += 1
+            super().__init__(n)
+
+        def push(self, rank, positions):
+            Counting.pushed += 1
+            super().push(rank, positions)
+
+    rng = random.Random(3)
+    texts = ["alpha beta " * 15 + "".join(rng.choice("etaoin") for _ in range(9)) for _ in range(30)]
+    want = [vocab.encode([t])[0].tolist() for t in texts]
+    b = bpe.Bpe(vocab.tokens)
+    monkeypatch.setattr(bpe, "RankQueue", Counting)
+    monkeypatch.setattr(bpe, "SLICE", 200)
+    ids, at = b.encode(texts)
+    assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == want
+    assert 1 <= Counting.made <= 10
+    Counting.pushed = 0
+    assert b.encode(["x alpha, beta; alpha."])[0].tolist() == vocab.encode(["x alpha, beta; alpha."])[0].tolist()
+    assert Counting.pushed == 0
+
+
+@needs_tokenizer
+def test_memos_are_trimmed_with_long_and_odd_chunks(vocab, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 30)
+    monkeypatch.setattr(bpe, "SLICE", 300)
+    ranks = {t: i for i, t in enumerate(vocab.tokens)}
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abeé\0\n1!") for _ in range(rng.choice((0, 1, 5, 30, 31, 32, 33, 70)))) for _ in range(60)]
+    texts = [None if rng.random() < 0.1 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(120)]
+    b = bpe.Bpe(vocab.tokens)
+    for column in (pa.array(texts, pa.string()), pa.array(texts, pa.large_string()).slice(7)):
+        ids, at = b.encode(column)
+        want = [[x for p in vocab.split.findall(t or "") for x in naive(ranks, p.encode())] for t in column.to_pylist()]
+        assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == want
+
+
 @needs_tokenizer
 def test_encode_odd_rows(spark):
     rows = bpe.encode(clashing(odd(spark))).collect()
