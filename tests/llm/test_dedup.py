@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from codeloom.llm import common, embeddings, linededup, paragraphs, simhash
+from codeloom.llm import common, embeddings, linededup, paragraphs, simhash, words
 
 from .helpers import SCHEMA, VOCAB, clashing, frame, odd, prose
 
@@ -450,3 +451,18 @@ def test_no_similar_paragraphs_stay_apart(spark):
     for paired in (1, 2, 3):
         led = near(paired)
         assert led <= want and roots(led) == roots(want)
+
+
+def test_words_are_hashed_without_the_memo():
+    """What the memo's hashes are, for all scripts, lengths and signs; paragraphs of ordinary words leave the memo as it is."""
+    rng = random.Random(61)
+    kinds = ["abcXYZ019_", "aé.È,ßÿ×÷À", "жШaä", "ªµº¹²a", "日本ｘİaσΣς", ".,;-'", "\x00a\x7f_"]
+    odd = pa.array(["".join(rng.choices(rng.choice(kinds), k=rng.randint(1, 45))) for _ in range(20_000)])
+    memo = words.Words()
+    number, _ = memo.index(odd)
+    assert (words.hashes(odd) == memo.hash[number]).all() and (words.hashes(odd.slice(777, 50)) == memo.hash[number[777:827]]).all()
+    assert len(words.hashes(pa.array([], pa.string()))) == 0
+    text = "\n".join(" ".join(words_of(rng, 30)) + " Éléphant, d'été." for _ in range(50))
+    known = len(words.words().memo)
+    of, flat, line = paragraphs._lines(pa.array([text, None, "", text]))
+    assert len(of) == 50 and len(flat) == len(line) and len(words.words().memo) == known
