@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,8 +147,15 @@ class Model:
         order = np.argsort(ids.astype(np.uint16) if self.vocab < 1 << 16 else ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        np.take(_flat(dh), order, 0, out=_flat(more), mode="clip")
-        g["ids"], g["E"] = ids[first], np.add.reduceat(_flat(more), first, axis=0)
+        size = np.diff(np.append(first, len(ids)))
+        g["ids"], g["E"] = ids[first], _flat(dh).take(order[first], 0)
+        # only ids that come again are summed
+        again = np.flatnonzero(size > 1)
+        if len(again):
+            held = order[np.repeat(size > 1, size)]
+            part, size = _flat(more)[: len(held)], size[again]
+            np.take(_flat(dh), held, 0, out=part, mode="clip")
+            g["E"][again] = np.add.reduceat(part, np.cumsum(size) - size, axis=0)
         return g
 
 
@@ -247,7 +255,15 @@ def descend(model: Model, x, real, target, on, rate: float, seen: dict[str, np.n
 
 def _lists(b: pa.RecordBatch) -> list[np.ndarray]:
     """Ids of the rows (.., n_tokens, bits, payload), from the second column on; null: none."""
-    n, bits, payload = (b.column(i).to_pylist() for i in (1, 2, 3))
+    n, bits, payload = (b.column(i) for i in (1, 2, 3))
+    wide = pc.unique(bits.drop_null()).to_pylist()
+    if payload.type == pa.binary() and wide in ([8], [16], [32]):  # whole bytes: all rows at once
+        at = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + len(b) + 1]
+        if (np.diff(at) == pc.if_else(payload.is_null(), 0, n).to_numpy(zero_copy_only=False) * (wide[0] // 8)).all():
+            flat = np.frombuffer(payload.buffers()[2] or b"", f">u{wide[0] // 8}", (at[-1] - at[0]) // (wide[0] // 8), at[0]).astype(np.int64)
+            at = ((at - at[0]) // (wide[0] // 8)).tolist()
+            return [flat[a:z] for a, z in zip(at, at[1:])]
+    n, bits, payload = (x.to_pylist() for x in (n, bits, payload))
     return [np.empty(0, np.int64) if p is None else unpack(p, w, k).astype(np.int64) for k, w, p in zip(n, bits, payload)]
 
 

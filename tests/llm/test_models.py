@@ -4,10 +4,11 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from codeloom.llm import bpe, linededup, mixing, quality, simhash, toxicity
+from codeloom.llm import bpe, linededup, lm, mixing, packing, quality, simhash, toxicity
 
 from .helpers import SCHEMA, clashing, frame, needs_tokenizer, odd, prose
 
@@ -317,3 +318,21 @@ def test_mixing_training_holds_few_products():
     peak = tracemalloc.get_traced_memory()[1] >> 20
     tracemalloc.stop()
     assert np.isfinite(model.weights).all() and peak < 95, peak
+
+
+def test_rows_of_whole_bytes_are_unpacked_at_once(monkeypatch):
+    """All rows of a batch in one go, also of a part of it, with nulls and empty rows; other widths row by row."""
+    rng = np.random.default_rng(13)
+    ids = [None if k in (3, 7) else rng.integers(0, 200, 0 if k == 5 else k * 9) for k in range(12)]
+
+    def batch(bits):
+        n = [None if x is None else len(x) for x in ids]
+        width = pa.array([None if x is None else bits for x in ids], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(n, pa.int32()), width, pa.array([None if x is None else packing.pack(x, bits) for x in ids], pa.binary())], ["doc_id", "n_tokens", "bits", "payload"])
+
+    same = lambda got, lo, hi: len(got) == hi - lo and all(np.array_equal(g, [] if x is None else x) for g, x in zip(got, ids[lo:hi]))
+    assert same(lm._lists(batch(9)), 0, 12)
+    monkeypatch.setattr(lm, "unpack", None)
+    for bits in (8, 16, 32):
+        for lo, hi in ((0, 12), (2, 9), (3, 4), (4, 4)):
+            assert same(lm._lists(batch(bits).slice(lo, hi - lo)), lo, hi)
