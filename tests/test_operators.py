@@ -119,6 +119,22 @@ def test_reachability_brute(spark):
     assert {r[0] for r in got.collect()} == want
 
 
+def test_innermost(spark):
+    rng = random.Random(5)
+    targets = [(i, rng.choice("ab"), s, s + rng.choice([-1, 0, 3, 40, 200])) for i, s in enumerate(rng.randrange(-90, 150) for _ in range(400))] + [(900, "a", 1, 2_000_000_000), (901, "b", -5, 2_000_000_000), (902, "b", -5, 2_000_000_000)]
+    probes = [(i, rng.choice("abc"), rng.randrange(-100, 400)) for i in range(300)] + [(7, "a", 1_999_999_999), (8, "a", None), (9, None, 3), (10, "b", 20), (10, "b", 20)]
+
+    def inside(f, at):
+        hit = [(-s, i) for i, g, s, e in targets if g == f and at is not None and s <= at <= e]
+        return min(hit)[1] if hit else None
+
+    p, t = spark.createDataFrame(probes, "pid bigint, f string, at int"), spark.createDataFrame(targets, "id bigint, f string, s int, e int")
+    got = [(r["pid"], r["target_id"]) for r in lookups.innermost_join(p, t, "f", "at", "s", "e", "pid", "id").collect()]
+    key = lambda x: (x[0], -1 if x[1] is None else x[1])
+    assert sorted(got, key=key) == sorted(((i, inside(f, at)) for i, f, at in probes), key=key)  # equal probes stay two
+    assert {r["target_id"] for r in lookups.innermost_join(p, t.limit(0), "f", "at", "s", "e", "pid", "id").collect()} == {None}
+
+
 def test_asof(spark):
     p = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 5), (4, None, 5), (5, "a", None)], "pid int, f string, t int")
     t = spark.createDataFrame([(10, "a", 2), (11, "a", 5), (12, "a", 5), (13, "c", 0), (14, "a", None)], "id int, f string, s int")
