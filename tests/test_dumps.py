@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom import dumpview
 from codeloom.catalog import Catalog
 from codeloom.functions import typeast
 from codeloom.sources import dumps, export, resolve
@@ -131,3 +132,22 @@ def test_stream(spark, tmp_path):
     (tmp_path / "out").rename(tmp_path / "out.last")  # where a crash between the two renames leaves it
     assert put("C", "three") == [("A", "one"), ("B", "two"), ("C", "three")]
     assert not (tmp_path / "out.last").exists()
+
+
+def test_tables_are_made_when_asked_for(spark, root, monkeypatch):
+    made = []
+    monkeypatch.setattr(resolve, "with_ids", lambda df, *keys, f=resolve.with_ids: made.append(keys) or f(df, *keys))
+    c = resolve.build(spark, root)
+    assert made == []
+    assert [r["class_name"] for r in c["class"].collect()] == ["C"]
+    assert made == [("name",), ("module_name", "class_name", "line_number_start")]  # modules and classes, nothing else
+    assert c["class"].count() == 1 and len(made) == 2
+
+
+def test_dumps_in_pieces(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    whole = {k: sorted(map(str, dumpview.QUERIES[f"ingest_{k}"](spark, d).collect())) for k in ("function",)}
+    monkeypatch.setattr(dumpview, "PIECE", 50)
+    texts = dumpview.texts(spark, d).where("path like '%.hs.json'").selectExpr("length(value) as n", "path").collect()
+    assert len(texts) > len({r["path"] for r in texts}) and max(r["n"] for r in texts) < sum(r["n"] for r in texts) / 25
+    assert whole == {k: sorted(map(str, dumpview.QUERIES[f"ingest_{k}"](spark, d).collect())) for k in whole}
