@@ -151,3 +151,18 @@ def test_dumps_in_pieces(spark, monkeypatch):
     texts = dumpview.texts(spark, d).where("path like '%.hs.json'").selectExpr("length(value) as n", "path").collect()
     assert len(texts) > len({r["path"] for r in texts}) and max(r["n"] for r in texts) < sum(r["n"] for r in texts) / 25
     assert whole == {k: sorted(map(str, dumpview.QUERIES[f"ingest_{k}"](spark, d).collect())) for k in whole}
+
+
+def test_call_edges_of_repeated_names(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 3)
+    owners = [(i, f"k{i % 3}") for i in range(30)] + [(4, "k2"), (None, "k0")]  # an id of two keys, and none
+    functions = [(i, "M", f"n{i % 4}") for i in range(40)] + [(5, "M", "n0"), (6, None, "n0")]
+    calls = [("k0", "M", "n0"), ("k1", "M", "n0"), ("k2", "M", "n1"), ("k0", "M", "n3"), ("k0", "M", "n0"), ("k0", None, "n0"), ("k0", "M", "")]
+    o, f, c = spark.createDataFrame(owners, "id bigint, full_key string"), spark.createDataFrame(functions, "id bigint, module_name string, name string"), spark.createDataFrame(calls, "full_key string, module_name string, name string")
+    edges = resolve.call_edges(o, c, f)
+    want = {(i, j) for i, k in owners for a, m, n in calls if a == k and m and n for j, x, y in functions if (x, y) == (m, n)}
+    key = lambda e: (e[0] is not None, e[0] or 0, e[1])
+    assert sorted(map(tuple, edges.collect()), key=key) == sorted(want, key=key)
+    # pairs of ids are made at the end: nothing gathers or sends them
+    plan = edges._jdf.queryExecution().executedPlan().toString().split("Generate explode(xs")[0]
+    assert "Generate" in plan and "Exchange" not in plan and "Aggregate" not in plan
