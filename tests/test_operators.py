@@ -170,3 +170,15 @@ def test_usage_and_imports(spark):
     assert say("g", "A") == ["import B"] and say("g", "A", "type") == []
     assert say("g", "nope") == ["# Unable to find module 'nope'"]
     assert usage.function_prompt("$$f", "a", "b") is None and usage.function_prompt("f", "a", "b") == "f :: a\nb"
+
+
+def test_similar_functions_scores_once(spark):
+    from codeloom.catalog import Catalog
+
+    rows = [(1, "a", "Int -> Text", "x  y z y"), (2, "validate b", "Int -> Text", "x y q"), (3, "c", "Int", ""), (4, "d", None, "x  y z y and\nmore"), (5, "e", "int -> text", "x  Y z y")]
+    c = Catalog(spark, {"function": spark.createDataFrame(rows, "id bigint, name string, function_signature string, raw_string string")})
+    got = textsim.similar_functions(c, 1, 0.0)
+    words = lambda x: set((x or "").split())
+    want = {i: round(0.4 * len(words(rows[0][2]) & words(s)) / 3 + 0.6 * len(words(rows[0][3]) & words(t)) / 3, 6) for i, n, s, t in rows[1:]}
+    assert {r["id"]: r["similarity"] for r in got.collect()} == want
+    assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()  # scored already: the sort reads scores
