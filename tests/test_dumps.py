@@ -166,3 +166,13 @@ def test_call_edges_of_repeated_names(spark, monkeypatch):
     # pairs of ids are made at the end: nothing gathers or sends them
     plan = edges._jdf.queryExecution().executedPlan().toString().split("Generate explode(xs")[0]
     assert "Generate" in plan and "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_edges_are_told_apart_in_tasks_that_grow_in_number(spark, tmp_path, monkeypatch):
+    rows = [(f"a{i % 40}", f"b{i % 7}", "T") for i in range(3000)] + [("a0", None, "T")] * 2
+    spark.createDataFrame(rows, "src string, dst string, type string").write.parquet(str(tmp_path / "e"))
+    edges = spark.read.parquet(str(tmp_path / "e"))
+    monkeypatch.setattr(export, "TASK_BYTES", sum(p.stat().st_size for p in (tmp_path / "e").glob("*.parquet")) // 11)
+    once = export._once(edges)
+    assert sorted(map(str, once.collect())) == sorted({str(r) for r in edges.collect()})
+    assert once.rdd.getNumPartitions() >= 11
